@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .tool_calls import OP3_SQL
+from .warc import OP5_SQL
+
 _MODULES = {
+    "tiling": ["op2_benchmark_tiling"],
+    "tool_calls": ["op3_tool_call_linking"],
+    "warc": ["op5_warc_revisits"],
     "quality_rules": ["op6_repetition_coverage"],
+    "langid_cnn": ["op7_language_cnn"],
     "bpe": ["op9_byte_bpe"],
 }
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for module, names in _MODULES.items() for name in names}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_tool_call_linking": OP3_SQL, "op5_warc_revisits": OP5_SQL}

@@ -24,8 +24,6 @@ BASE_INV = pow(BASE, -1, 2**64)
 WORD_BASE = U(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -62,12 +60,12 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int, "Chunk"]]:
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK, kind: type | None = None) -> Iterator[tuple[int, int, "Chunk"]]:
     """Row ranges [a, b) with their texts."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
-        yield a, b, Chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield a, b, (kind or Chunk)(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         a = b
 
 
@@ -77,7 +75,7 @@ class Chunk:
 
     data: np.ndarray
     off: np.ndarray
-    lower: bool = False
+    separator = SPACE  # of words; another kind of chunk may have another
 
     @cached_property
     def prefix(self) -> np.ndarray:
@@ -85,8 +83,7 @@ class Chunk:
         n = len(self.data)
         p = np.empty(n + 1, U)
         p[0] = 0
-        table = BYTE_HASH[LOWER] if self.lower else BYTE_HASH
-        np.cumsum(table[self.data] * powers(n + 1)[0][:n], out=p[1:])
+        np.cumsum(BYTE_HASH[self.data] * powers(n + 1)[0][:n], out=p[1:])
         return p
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -99,7 +96,7 @@ class Chunk:
         """(start, end, first): byte ranges of the words, and for each text the index of its first word (n + 1)."""
         n = len(self.data)
         flag = np.zeros(n + 1, bool)
-        np.logical_not(SPACE[self.data], out=flag[:n])
+        np.logical_not(self.separator[self.data], out=flag[:n])
         edge = np.zeros(n + 1, bool)
         edge[self.off] = True
         before = np.zeros(n + 1, bool)
