@@ -14,6 +14,7 @@ _MODULES = {
     "quality_rules": ["op6_repetition_coverage"],
     "langid_cnn": ["op7_language_cnn"],
     "bpe": ["op9_byte_bpe"],
+    "toxicity": ["op10_compression_toxicity"],
 }
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for module, names in _MODULES.items() for name in names}
 ORACLE_SQL = {"op3_tool_call_linking": OP3_SQL, "op5_warc_revisits": OP5_SQL}
