@@ -1,0 +1,34 @@
+"""Connected components by alternating large and small stars, each round a few joins and partial aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import remove_dir, stored
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """(id, root) for every node of ``edges`` (a, b); the root is the least id of its component.
+
+    Rounds grow with the logarithm of the longest path. Each round's edges are written to ``folder`` in the shared
+    store, so a lost executor costs a task and not the lineage; the round before is deleted.
+    """
+    spark = edges.sparkSession
+    star = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
+    last, k = None, 0
+    while True:
+        k += 1
+        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        star = stored(small, f"{folder}/{k}")
+        now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if k > 1:
+            remove_dir(spark, f"{folder}/{k - 2}")
+        if now == last:
+            break
+        last = now
+    return star.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

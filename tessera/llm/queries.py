@@ -13,6 +13,7 @@ _MODULES = {
     "warc": ["op5_warc_revisits"],
     "quality_rules": ["op6_repetition_coverage"],
     "langid_cnn": ["op7_language_cnn"],
+    "near_dedup": ["op8_weighted_minhash"],
     "bpe": ["op9_byte_bpe"],
     "toxicity": ["op10_compression_toxicity"],
 }
