@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .line_dedup import OP1_SQL
 from .tool_calls import OP3_SQL
 from .warc import OP5_SQL
 
 _MODULES = {
+    "line_dedup": ["op1_line_dedup"],
     "tiling": ["op2_benchmark_tiling"],
     "tool_calls": ["op3_tool_call_linking"],
     "warc": ["op5_warc_revisits"],
@@ -18,4 +20,4 @@ _MODULES = {
     "toxicity": ["op10_compression_toxicity"],
 }
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for module, names in _MODULES.items() for name in names}
-ORACLE_SQL = {"op3_tool_call_linking": OP3_SQL, "op5_warc_revisits": OP5_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_tool_call_linking": OP3_SQL, "op5_warc_revisits": OP5_SQL}
