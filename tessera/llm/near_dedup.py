@@ -10,11 +10,11 @@ weighs little however large the corpus is.
 2. Nodes meet in band buckets. A bucket is never paired in full: its least node is compared with the others
    (rows of (leader, member), made by a join that Spark may split). Each pair is verified by the weighted
    Jaccard similarity of the whole texts, 0.8 or more.
-3. Verified links make components. A bucket whose nodes fall in one component is done. Otherwise, as
-   1 - similarity is a metric, a member nearer to the leader than (the nearest outsider's distance - 0.2) cannot
-   be linked to an outsider; the others stay. A bucket of at most ``SMALL`` such nodes is compared in full, which is
-   a bounded number of comparisons a node; a larger one gets another leader. This goes on until none is left, so
-   within the buckets no link that would join two classes is lost.
+3. Verified links make components. A bucket whose nodes fall in one component is done. Otherwise up to ``HEADS``
+   of the nodes outside the leader's component are compared with the rest of the bucket, which settles them, and
+   components are made anew, until no outsider is left. 1 - similarity is a metric, so of these pairs only those
+   count whose distances to the leader differ by 0.2 at most. So within the buckets no link that would join two
+   classes is lost, while a node meets a bounded number of others in a round; as every round joins what is alike, rounds are few.
 
 A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**3)**10 = 0.9992, more similar ones with more.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as T
@@ -37,7 +37,7 @@ from .tiling import Words
 WORDS, LIKE = 5, 0.8
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
-BANDS, ROWS, SMALL = 10, 3, 32
+BANDS, ROWS, HEADS = 10, 3, 64
 DRAWS = 1 << 16
 U = np.uint64
 _rng = np.random.default_rng(31)
@@ -104,13 +104,11 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["bucket", "df"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()  # BUCKETS + 1 rows at most
-    df, n = np.zeros(BUCKETS), 0
-    for r in rows:
-        if r["bucket"] < 0:
-            n = r["df"]
-        else:
-            df[r["bucket"]] = r["df"]
+    sums = docs.select("text").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()  # BUCKETS + 1 rows at most
+    at, count = sums["bucket"].to_numpy(), sums["df"].to_numpy()
+    df = np.zeros(BUCKETS)
+    df[at[at >= 0]] = count[at >= 0]
+    n = int(count[at < 0].sum())
     return np.log1p(n / np.maximum(df, 1)).astype(np.float32)
 
 
@@ -203,25 +201,23 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     texts = low.join(met.select(F.col("node_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     vecs = stored(vectors(texts), f"{folder}/vectors")
 
-    active, compared, root, k = members.select("bucket", "id", "leader"), None, None, 0
-    while True:
-        pairs = active.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        sims = stored(_new(pairs, compared, vecs, idf), f"{folder}/compared-{k}")
-        compared = sims if compared is None else compared.unionByName(sims)
-        root = components(compared.filter(F.col("s") >= like), f"{folder}/star-{k}")
-        rest = _left(active, compared, root, 1 - like)
-        rest = stored(rest, f"{folder}/left-{k}")
-        few = rest.filter(F.col("n") <= SMALL)
-        left, right = few.select("bucket", F.col("id").alias("a"), F.col("own").alias("ra")), few.select("bucket", F.col("id").alias("b"), F.col("own").alias("rb"))
-        pairs = left.join(right, "bucket").filter("a < b AND ra <> rb").select("a", "b").distinct()
-        sims = stored(_new(pairs, compared, vecs, idf), f"{folder}/compared-{k}-few")
-        compared = compared.unionByName(sims)
-        active = rest.filter(F.col("n") > SMALL)
-        if active.isEmpty():
-            root = components(compared.filter(F.col("s") >= like), f"{folder}/star-{k}-last")
-            break
-        active = active.select("bucket", "id", F.col("next").alias("leader"))
+    pairs = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    compared = stored(verified(pairs, vecs, idf), f"{folder}/compared-0")
+    root = components(compared.filter(F.col("s") >= like), f"{folder}/star-0")
+    d = members.join(compared.withColumnsRenamed({"a": "leader", "b": "id"}), ["leader", "id"], "left")
+    d = d.select("bucket", "id", "leader", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", F.lit(0.0))).alias("d"))
+    left, k = stored(_left(d, root, 1 - like), f"{folder}/left-0"), 0
+    while not left.isEmpty():
         k += 1
+        first = Window.partitionBy("bucket").orderBy("id")
+        heads = stored(left.filter("out").select("*", F.row_number().over(first).alias("n")).filter(F.col("n") <= HEADS).drop("n"), f"{folder}/heads-{k}")
+        other = left.select("bucket", F.col("id").alias("id2"), F.col("d").alias("d2"), F.col("own").alias("own2"))
+        pairs = heads.join(other, "bucket").filter((F.col("own") != F.col("own2")) & (F.abs(F.col("d") - F.col("d2")) <= 1 - like + 1e-9))
+        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        compared = compared.unionByName(stored(verified(pairs, vecs, idf), f"{folder}/compared-{k}"))
+        root = components(compared.filter(F.col("s") >= like), f"{folder}/star-{k}")
+        rest = left.join(heads.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "leader", "d")
+        left = stored(_left(rest, root, 1 - like), f"{folder}/left-{k}")
 
     node = nodes.select("k1", "k2", "node_id").join(root.withColumnRenamed("id", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     least = node.groupBy("root").agg(F.min("node_id").alias("class_id"))
@@ -230,23 +226,14 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     return if_text.join(classed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("node_id", "doc_id").alias("node_id"))
 
 
-def _new(pairs: DataFrame, compared: DataFrame | None, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if compared is not None:
-        pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    return verified(pairs, vecs, idf)
-
-
-def _left(active: DataFrame, compared: DataFrame, root: DataFrame, far: float) -> DataFrame:
-    """(bucket, id, own, next, n): what is left of each bucket whose nodes lie in several components."""
-    d = active.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader")).join(compared, ["a", "b"], "left")
-    d = d.select("bucket", "id", "leader", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", F.lit(0.0))).alias("d"))
+def _left(d: DataFrame, root: DataFrame, far: float) -> DataFrame:
+    """(bucket, id, leader, d, own, out): of the buckets with nodes outside their leader's component, these
+    outsiders and the nodes inside that one of them could be linked to; own is a node's component."""
     d = d.join(root.select("id", F.col("root").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
     d = d.join(root.select(F.col("id").alias("leader"), F.col("root").alias("lead")), "leader", "left").withColumn("out", F.col("own") != F.coalesce("lead", "leader"))
-    near = d.groupBy("bucket").agg(F.min(F.when(F.col("out"), F.col("d"))).alias("nearest"), F.min(F.when(F.col("out"), F.col("id"))).alias("next")).filter("nearest IS NOT NULL")
-    keep = d.join(near, "bucket").filter(F.col("out") | ((F.col("d") >= F.col("nearest") - far - 1e-9) & (F.col("id") != F.col("leader"))))
-    size = keep.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keep.join(size, "bucket").select("bucket", "id", "own", "next", "n")
+    near = d.filter("out").groupBy("bucket").agg(F.min("d").alias("nearest"))
+    keep = d.join(near, "bucket").filter(F.col("out") | (F.col("d") >= F.col("nearest") - far - 1e-9))
+    return keep.select("bucket", "id", "leader", "d", "own", "out")
 
 
 def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
