@@ -12,6 +12,7 @@ _MODULES = {
     "line_dedup": ["op1_line_dedup"],
     "tiling": ["op2_benchmark_tiling"],
     "tool_calls": ["op3_tool_call_linking"],
+    "suffix_dedup": ["op4_suffix_dedup"],
     "warc": ["op5_warc_revisits"],
     "quality_rules": ["op6_repetition_coverage"],
     "langid_cnn": ["op7_language_cnn"],
