@@ -237,9 +237,10 @@ def _left(d: DataFrame, root: DataFrame, far: float) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """``docs`` with one document of each class, the one of least doc_id; all columns kept."""
+    """``docs`` with one document of each class, the one of least doc_id, and one of rows equal in doc_id and text; rows without doc_id stay."""
     first = near_classes(docs, like).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(stored(first, shared_dir(docs.sparkSession)), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import arrow_map, table
+from .common import arrow_map, shared_dir, stored, table
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -177,8 +177,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, **o
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item (by doc_id), all columns kept."""
-    return docs.join(leaks(docs, benchmark, coverage, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows that hold a benchmark item, all columns kept.
+
+    Rows are told apart by a hash of doc_id and text, so null and repeated ids do no harm; ``_rk`` is the operator's own name."""
+    rows = docs.withColumn("_rk", F.xxhash64("doc_id", "text"))
+    bad = leaks(rows.select(F.col("_rk").alias("doc_id"), "text"), benchmark, coverage, **options).select(F.col("doc_id").alias("_rk")).distinct()
+    return rows.join(stored(bad, shared_dir(docs.sparkSession)), "_rk", "left_anti").select(docs.columns)
 
 
 def op2_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
