@@ -7,14 +7,14 @@ weighs little however large the corpus is.
 
 1. One pass counts the buckets; a second draws ``BANDS * ROWS`` weighted samples of each text and folds them
    into band keys. Texts with the same shingles are one node from here on (copies are members of its class).
-2. Nodes meet in band buckets. A bucket is never paired in full: its least node is compared with the others
-   (rows of (leader, member), made by a join that Spark may split). Each pair is verified by the weighted
-   Jaccard similarity of the whole texts, 0.8 or more.
-3. Verified links make components. A bucket whose nodes fall in one component is done. Otherwise up to ``HEADS``
-   of the nodes outside the leader's component are compared with the rest of the bucket, which settles them, and
-   components are made anew, until no outsider is left. 1 - similarity is a metric, so of these pairs only those
-   count whose distances to the leader differ by 0.2 at most. So within the buckets no link that would join two
-   classes is lost, while a node meets a bounded number of others in a round; as every round joins what is alike, rounds are few.
+2. Nodes meet in band buckets. A bucket is never paired in full: its leader, the node that meets most others in all its
+   buckets (of edited copies, mostly the text that they come from), is compared with the others. Each pair is verified
+   by the weighted Jaccard similarity of the whole texts, 0.8 or more.
+3. Verified links make components. A bucket whose nodes fall in one component is done. Otherwise the nodes outside the
+   leader's component are compared with the rest of the bucket, in blocks (see ``_in_blocks``). 1 - similarity is a
+   metric, so a node inside that is nearer to the leader than the nearest outsider less 0.2 needs no comparison.
+   So within the buckets no link that would join two classes is lost. This step's work is outsiders times nodes of
+   a bucket, by matrix products; it is small unless a bucket holds very many texts that are alike, but below 0.8.
 
 A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**3)**10 = 0.9992, more similar ones with more.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as T
@@ -37,7 +37,7 @@ from .tiling import Words
 WORDS, LIKE = 5, 0.8
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
-BANDS, ROWS, HEADS = 10, 3, 64
+BANDS, ROWS, BLOCK = 10, 3, 256
 DRAWS = 1 << 16
 U = np.uint64
 _rng = np.random.default_rng(31)
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s, pa.float64())], names=["a", "b", "s"])
 
     one = vecs.groupBy("id").agg(F.first("vec").alias("vec"))
-    both = pairs.join(one.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b").join(one.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
+    both = pairs.join(one.select(F.col("id").alias("b"), F.col("vec").alias("vb")).hint("merge"), "b").join(one.select(F.col("id").alias("a"), F.col("vec").alias("va")).hint("merge"), "a")
     return arrow_map(both.select("a", "b", "va", "vb"), kernel, "a long, b long, s double")
 
 
@@ -195,10 +195,14 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     sig = stored(signatures(low.filter("doc_id IS NOT NULL"), idf), f"{folder}/signatures")
     nodes = stored(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("node_id"), F.first("bands").alias("bands")), f"{folder}/nodes")
     keys = nodes.select(F.col("k1").alias("id"), "node_id", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "leader")
-    members = stored(keys.join(shared, "bucket").select("bucket", "id", "node_id", "leader"), f"{folder}/members")
-    met = members.select("id", "node_id").distinct()
-    texts = low.join(met.select(F.col("node_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    size = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{folder}/buckets")
+    met = stored(keys.join(size.hint("merge"), "bucket").select("bucket", "id", "node_id", "n"), f"{folder}/met")
+    weight = met.groupBy("id").agg(F.sum("n").alias("weight"), F.first("node_id").alias("node_id"))
+    weight = stored(weight, f"{folder}/weights")
+    ranked = met.join(weight.select("id", "weight").hint("merge"), "id")
+    leader = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "id"))["id"].alias("leader"))
+    members = stored(met.select("bucket", "id").join(stored(leader, f"{folder}/leaders").hint("merge"), "bucket"), f"{folder}/members")
+    texts = low.join(weight.select(F.col("node_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     vecs = stored(vectors(texts), f"{folder}/vectors")
 
     pairs = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -206,18 +210,9 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     root = components(compared.filter(F.col("s") >= like), f"{folder}/star-0")
     d = members.join(compared.withColumnsRenamed({"a": "leader", "b": "id"}), ["leader", "id"], "left")
     d = d.select("bucket", "id", "leader", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", F.lit(0.0))).alias("d"))
-    left, k = stored(_left(d, root, 1 - like), f"{folder}/left-0"), 0
-    while not left.isEmpty():
-        k += 1
-        first = Window.partitionBy("bucket").orderBy("id")
-        heads = stored(left.filter("out").select("*", F.row_number().over(first).alias("n")).filter(F.col("n") <= HEADS).drop("n"), f"{folder}/heads-{k}")
-        other = left.select("bucket", F.col("id").alias("id2"), F.col("d").alias("d2"), F.col("own").alias("own2"))
-        pairs = heads.join(other, "bucket").filter((F.col("own") != F.col("own2")) & (F.abs(F.col("d") - F.col("d2")) <= 1 - like + 1e-9))
-        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        compared = compared.unionByName(stored(verified(pairs, vecs, idf), f"{folder}/compared-{k}"))
-        root = components(compared.filter(F.col("s") >= like), f"{folder}/star-{k}")
-        rest = left.join(heads.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "leader", "d")
-        left = stored(_left(rest, root, 1 - like), f"{folder}/left-{k}")
+    left = stored(_left(d, root, 1 - like), f"{folder}/left")
+    links = compared.filter(F.col("s") >= like).select("a", "b").unionByName(stored(_in_blocks(left, vecs, idf, like), f"{folder}/links"))
+    root = components(links, f"{folder}/star-1")
 
     node = nodes.select("k1", "k2", "node_id").join(root.withColumnRenamed("id", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     least = node.groupBy("root").agg(F.min("node_id").alias("class_id"))
@@ -227,13 +222,77 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
 
 def _left(d: DataFrame, root: DataFrame, far: float) -> DataFrame:
-    """(bucket, id, leader, d, own, out): of the buckets with nodes outside their leader's component, these
-    outsiders and the nodes inside that one of them could be linked to; own is a node's component."""
+    """(bucket, id, own, out): of the buckets with nodes outside their leader's component, these outsiders and the nodes
+    inside that one of them could be linked to; own is a node's component."""
     d = d.join(root.select("id", F.col("root").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
     d = d.join(root.select(F.col("id").alias("leader"), F.col("root").alias("lead")), "leader", "left").withColumn("out", F.col("own") != F.coalesce("lead", "leader"))
     near = d.filter("out").groupBy("bucket").agg(F.min("d").alias("nearest"))
     keep = d.join(near, "bucket").filter(F.col("out") | (F.col("d") >= F.col("nearest") - far - 1e-9))
-    return keep.select("bucket", "id", "leader", "d", "own", "out")
+    return keep.select("bucket", "id", "own", "out")
+
+
+def _in_blocks(left: DataFrame, vecs: DataFrame, idf: np.ndarray, like: float) -> DataFrame:
+    """(a, b) of the links between an outsider and any other node left in its bucket, if their components differ.
+
+    Outsiders and nodes of a bucket are dealt into blocks of about ``BLOCK``; a block of outsiders meets a block of
+    nodes in one group, whose similarities are a few matrix products. Rows are copied once for each block of the other
+    side, so what a task holds is bounded and no pair but a link becomes a row."""
+    sent = left.sparkSession.sparkContext.broadcast(idf)
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    size = left.groupBy("bucket").agg(F.sum(F.col("out").cast("int")).alias("outs"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    one = vecs.groupBy("id").agg(F.first("vec").alias("vec"))
+    rows = left.join(size, "bucket").join(one.hint("merge"), "id")
+    mine = lambda n: F.pmod(F.xxhash64("id"), blocks(F.col(n)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(F.col(n)) - 1))
+    outs = rows.filter("out").select("bucket", mine("outs").cast("int").alias("i"), every("n").alias("j"), F.lit(True).alias("first"), "id", "own", "vec")
+    others = rows.select("bucket", every("outs").alias("i"), mine("n").cast("int").alias("j"), F.lit(False).alias("first"), "id", "own", "vec")
+    met = outs.unionByName(others).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            keys = [b.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "i", "j")]
+            cuts = (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist() if b.num_rows else []
+            for x, y in zip([0, *cuts], [*cuts, b.num_rows]):
+                key = tuple(int(k[x]) for k in keys)
+                if key != last and held:
+                    yield _linked(pa.Table.from_batches(held), sent.value, like)
+                    held = []
+                last = key
+                held.append(b.slice(x, y - x))
+        if held:
+            yield _linked(pa.Table.from_batches(held), sent.value, like)
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(t: pa.Table, idf: np.ndarray, like: float) -> pa.RecordBatch:
+    """Links between the rows with and without ``first``, of different components."""
+    first, ids, own = (t.column(x).to_numpy() for x in ("first", "id", "own"))
+    vec = [_numbered(np.frombuffer(v.as_buffer(), np.uint32)) for v in t.column("vec")]
+    x, y = np.flatnonzero(first), np.flatnonzero(~first)
+    common = np.intersect1d(np.concatenate([vec[k] for k in x]), np.concatenate([vec[k] for k in y])) if len(x) and len(y) else np.zeros(0, np.uint64)
+    weight = idf[(common >> U(64 - BUCKET_BITS)).astype(np.int64)].astype(np.float64)
+    total = np.array([idf[(v >> U(64 - BUCKET_BITS)).astype(np.int64)].astype(np.float64).sum() for v in vec])
+    both = np.zeros((len(x), len(y)))
+    place = [np.searchsorted(common, v[np.isin(v, common)]) for v in vec]
+    for c in range(0, len(common), 8192):
+        m = np.zeros((len(vec), min(8192, len(common) - c)))
+        for k, p in enumerate(place):
+            m[k, p[(p >= c) & (p < c + 8192)] - c] = 1
+        both += (m[x] * weight[c : c + 8192]) @ m[y].T
+    s = both / np.maximum(total[x][:, None] + total[y][None, :] - both, 1e-12)
+    i, j = np.nonzero((s >= like) & (own[x][:, None] != own[y][None, :]))
+    a, b = ids[x[i]], ids[y[j]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _numbered(v: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a sorted set: the n-th occurrence of an element is an element of its own."""
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    n = np.arange(len(v)) - np.repeat(start, np.diff(np.append(start, len(v))))
+    return (v.astype(U) << U(32)) | n.astype(U)
 
 
 def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
