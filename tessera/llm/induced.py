@@ -132,7 +132,7 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, n_symbols: int, fo
             j = big[big > 0] - 1
             j = j[small[j]]
             _push_all(back, s[j], j)
-    out.append(np.array([len(s) - 1]))  # the end, which nothing pushes
+    out.append(np.array([len(s) - 1], lms.dtype))  # the end, which nothing pushes
     if lms_only is not None:
         return np.concatenate(out)[::-1]
     return [a[::-1] for a in reversed(out)]
@@ -171,7 +171,7 @@ def suffix_order(s: np.ndarray, n_symbols: int, folder: str, wanted: np.ndarray
     small = types(s)
     is_lms = np.zeros(len(s), bool)
     is_lms[1:] = small[1:] & ~small[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32 if len(s) < 2**31 else np.int64)
     if len(lms) > 1:
         by_substring = induce(s, small, lms, n_symbols, folder, is_lms)
         end = np.append(lms[1:], lms[-1])

@@ -38,6 +38,7 @@ from .common import arrow_map, shared_dir, stored, table
 from .induced import _hashes, _span, suffix_order
 
 SPAN, MER = 200, 24
+SHARD = 10_000  # chunks of a shard on average; their number grows with the input
 MEMORY = 96 << 20  # bytes of a shard's text from which its arrays are files
 U = np.uint64
 
@@ -241,7 +242,8 @@ def byte_deduplicated(docs: DataFrame, whole: bool = False) -> DataFrame:
     found = anchors(rows, False).join(shared, "h").groupBy("rk").agg(F.collect_set("h").alias("hs"))
     found = stored(found.join(contents.select("rk"), "rk", "left_semi"), f"{folder}/found")
     texts = rows.select("rk", "text").join(found.hint("merge"), "rk")
-    gone = chunks_of(texts).repartition("h").mapInArrow(sort_shard, "rk long, start long, end long")
+    n = found.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0)).alias("n")).first()["n"]
+    gone = chunks_of(texts).repartition(max(1, -(-n // SHARD)), "h").mapInArrow(sort_shard, "rk long, start long, end long")
     gone = gone.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     done = cut(texts.join(gone.hint("merge"), "rk"), whole)
     out = heads.join(contents.select("c1", "c2", "copies"), ["c1", "c2"]).join(done.dropDuplicates(["rk"]), "rk", "left")
