@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import ORACLE_SQL, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "bgp_snowflake_filter"
