@@ -13,8 +13,8 @@ LEAST_SCORE = 0.3  # of a language; with four languages chance gives 0.25
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a likely language go."""
     model = langid_cnn.fit_languages(docs, ~held_out("doc_id", 3, 1))
-    told = langid_cnn.identify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return told.filter((told["lang_pred"] != "und") & (told["score"] >= LEAST_SCORE)).select(docs.columns)
+    told = langid_cnn.identify(docs, model, rows=True)
+    return told.filter((told["lang_pred"] != "und") & (told["score"] >= LEAST_SCORE)).select("row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

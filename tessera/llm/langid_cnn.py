@@ -149,8 +149,8 @@ def fit_languages(docs: DataFrame, trainable: Column, per_lang: int = PER_LANG)
     return ByteCNN.fit([t for _, t in rows], [x for x, _ in rows]) if rows else None
 
 
-def identify(docs: DataFrame, model: ByteCNN | None, apart: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) and the columns ``keep`` for each row."""
+def identify(docs: DataFrame, model: ByteCNN | None, apart: Column | None = None, rows: bool = False) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row; with ``rows`` also the whole row as a struct ``row``."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off = buffers(b.column("text"))
@@ -172,12 +172,13 @@ def identify(docs: DataFrame, model: ByteCNN | None, apart: Column | None = None
         langs = np.array([*(model.langs if model else []), "und"], object)
         pred[~lettered] = len(langs) - 1
         score[~lettered | (pred < 0)] = 0
-        cols = {"lang_pred": pa.array(langs[pred], pa.string()), "score": pa.array(np.minimum(score, 1.0))}
-        return pa.RecordBatch.from_arrays([*(b.column(x) for x in ["doc_id", "held_out", *keep]), *cols.values()], names=["doc_id", "held_out", *keep, *cols])
+        cols = {x: b.column(x) for x in names} | {"lang_pred": pa.array(langs[pred], pa.string()), "score": pa.array(np.minimum(score, 1.0))}
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    rows = docs.select("doc_id", (F.lit(False) if apart is None else apart).alias("held_out"), *(x for x in keep if x != "doc_id"), *([] if "text" in keep else ["text"]))
-    types = dict(rows.dtypes)
-    return arrow_map(rows, kernel, ", ".join([*(f"`{x}` {types[x]}" for x in ["doc_id", "held_out", *keep]), "lang_pred string", "score double"]))
+    names = ["doc_id", "held_out", *(["row"] if rows else [])]
+    told = docs.select("doc_id", (F.lit(False) if apart is None else apart).alias("held_out"), "text", *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []))
+    types = dict(told.dtypes)
+    return arrow_map(told, kernel, ", ".join([*(f"{x} {types[x]}" for x in names), "lang_pred string", "score double"]))
 
 
 def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ r"""Tool-call linking: calls and results joined by identifier, ordered, validate
   turn, call_id, content) are joined by (conv_id, call_id), a shuffle join that Spark may split where one
   conversation is hot. Of several results of a call the first by turn is linked and their number is told;
   of several calls with one identifier each is linked.
-* Order: a call comes after the calls that it refers to, and a result after its call. A call's level starts at
-  its turn; where a reference does not point to a lower level the level is raised, round by round, for the
-  calls behind such references only. Sorting by (level, turn) is then a topological order. Calls that still
-  rise after as many rounds as there are such calls lie on or behind a cycle: their level is null.
+* Order: a call comes after the calls that it refers to, and a result after its call. A call's level is its
+  turn; only where a reference does not point to a lower turn, the calls on and behind it get new levels, layer by
+  layer: a call all of whose references have levels gets the highest of them plus one, or its turn. Sorting by
+  (level, turn) is then a topological order. Calls on or behind a cycle are left over: their level is null.
 * Arguments are checked against a schema per tool name (a subset of JSON Schema: type, properties, required,
   additionalProperties, enum, minimum, maximum, minLength, maxLength, items).
 * Canonical JSON: keys sorted by code point, no blanks, non-ASCII characters as they are.
@@ -106,23 +106,28 @@ def levels(calls: DataFrame) -> DataFrame:
     if not n_late:
         remove_dir(spark, folder)
         return nodes
-    # what a raised call can reach backwards along references must be looked at again
-    state, rounds, rose = stored(nodes, f"{folder}/0"), 0, n_late
-    most = nodes.count() + 1
-    while rose and rounds <= most:
-        rounds += 1
-        e = edges.select("conv_id", "call_id", "ref")
-        need = e.join(state.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below")), ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg((F.max("below") + 1).alias("need"))
-        nxt = state.join(need, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("level", F.coalesce("need", "level")).alias("level"), (F.coalesce("need", "level") > F.col("level")).alias("rises"))
-        state = stored(nxt, f"{folder}/{rounds}")
-        rose = state.filter("rises").count()
-        state = state.drop("rises") if not rose else state
-        if rounds > 1:
-            remove_dir(spark, f"{folder}/{rounds - 1}")
-        if rose and rounds > n_late + 1 and rounds > 64:
-            break
-    level = F.when(F.col("rises"), F.lit(None).cast("long")).otherwise(F.col("level")) if "rises" in state.columns else F.col("level")
-    return state.select("conv_id", "call_id", level.alias("level"))
+    key = ["conv_id", "call_id"]
+    links = edges.select(*key, "ref")
+    behind = frontier = stored(late, f"{folder}/late-0")  # the calls on or behind such references
+    k = 0
+    while not frontier.isEmpty():
+        k += 1
+        new = links.join(frontier.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"]).select(*key).distinct().join(behind, key, "left_anti")
+        frontier = stored(new, f"{folder}/late-{k}")
+        behind = behind.unionByName(frontier)
+    done = nodes.join(behind, key, "left_anti")
+    todo = stored(nodes.join(behind, key), f"{folder}/todo-0")
+    k = 0
+    while True:
+        k += 1
+        below = links.join(todo.select(*key), key, "left_semi").join(done.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below")), ["conv_id", "ref"], "left")
+        ready = below.groupBy(*key).agg(F.count_if(F.col("below").isNull()).alias("open"), (F.max("below") + 1).alias("need"))
+        state = stored(todo.join(ready, key, "left"), f"{folder}/state-{k}")
+        free = state.filter(F.coalesce("open", F.lit(0)) == 0).select(*key, F.greatest("level", F.coalesce("need", "level")).alias("level"))
+        if free.isEmpty():
+            return done.unionByName(todo.select(*key, F.lit(None).cast("long").alias("level")))
+        done = done.unionByName(free)
+        todo = state.filter("open > 0").select(*key, "level")
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
