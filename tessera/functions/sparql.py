@@ -147,7 +147,10 @@ tz = lambda t: literal(F.regexp_extract(t["v"], r"(Z|[+-]\d\d:\d\d)$", 1))  # no
 def cast(t: Column, kind: str) -> Column:
     """``xsd:kind(t)``; what cannot be cast is unbound."""
     spark = {"integer": "decimal(38,0)", "decimal": "decimal(38,18)", "double": "double", "float": "float", "boolean": "boolean", "dateTime": "timestamp_ntz", "string": "string"}[kind]
-    v = t["v"].try_cast("double").try_cast(spark) if kind == "integer" else t["v"].try_cast(spark)
+    v = t["v"].try_cast(spark)
+    if kind == "integer":  # whole numbers as they are, others towards zero
+        x = t["v"].try_cast("double")
+        v = F.when(t["v"].rlike(r"^[+-]?\d+$"), v).otherwise(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).try_cast(spark))
     return literal(v.cast("string"), kind)
 
 
