@@ -119,3 +119,29 @@ def repetition_rules(docs: DataFrame, limits: dict = LIMITS) -> DataFrame:
 
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+def sql(limits: dict = LIMITS) -> str:
+    """The same rows in DuckDB."""
+    grams = ", ".join(
+        f"""g{n} AS (SELECT doc_id, i, c, CASE WHEN m = {n} THEN x END AS x, CASE WHEN m = {n} THEN s END AS s FROM (SELECT doc_id, i, c, count(*) OVER o AS m, string_agg(word, ' ') OVER o AS x, sum(c) OVER o AS s FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING))),
+n{n} AS (SELECT doc_id, i, c, s, CASE WHEN x IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY doc_id, x) END AS k FROM g{n}),
+f{n} AS (SELECT doc_id, max(CASE WHEN k > 1 THEN s * k ELSE 0 END) AS top, sum(CASE WHEN hit > 1 THEN c ELSE 0 END) AS inside, count(*) FILTER (hit > 1) AS words FROM (SELECT *, max(k) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS hit FROM n{n}) GROUP BY doc_id)"""
+        for n in range(2, 11)
+    )
+    share = lambda x: f"coalesce(CAST({x} AS DOUBLE) / word_chars, 0.0)"
+    return rf"""
+WITH w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, length(unnest(ws)) AS c FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT doc_id, line, p, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+d AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (nth > 1) AS dup, coalesce(sum(list_sum([length(x) FOR x IN ws])) FILTER (nth > 1), 0) AS dup_chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY p) AS nth FROM l WHERE len(ws) > 0) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_words, sum(c) AS word_chars FROM w GROUP BY doc_id), {grams},
+a AS (SELECT o.doc_id, coalesce(t.n_words, 0) AS n_words, CAST(coalesce(t.word_chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(coalesce(o.text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(d.dup, 0) AS n_dup_lines, coalesce(f8.words, 0) AS n_repeat_words,
+coalesce(CAST(d.dup AS DOUBLE) / d.lines, 0.0) AS dup_line_share, {share('d.dup_chars')} AS dup_line_char_share, greatest({', '.join(share(f'f{n}.top') for n in limits['top'])}) AS top_ngram_share, greatest({', '.join(share(f'f{n}.inside') for n in limits['dup'])}) AS dup_ngram_share,
+{' OR '.join([f"{share(f'f{n}.top')} > {x}" for n, x in limits['top'].items()] + [f"{share(f'f{n}.inside')} > {x}" for n, x in limits['dup'].items()])} AS bad
+FROM documents o LEFT JOIN t ON t.doc_id = o.doc_id LEFT JOIN d ON d.doc_id = o.doc_id {' '.join(f'LEFT JOIN f{n} ON f{n}.doc_id = o.doc_id' for n in range(2, 11))})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR bad OR dup_line_share > {limits['lines']} OR dup_line_char_share > {limits['line_chars']}) AS kept, dup_line_share, dup_line_char_share, top_ngram_share, dup_ngram_share FROM a
+"""
+
+
+OP6_SQL = sql()

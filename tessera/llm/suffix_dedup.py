@@ -258,3 +258,16 @@ def byte_deduplicated(docs: DataFrame, whole: bool = False) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_deduplicated(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(raw[i:i + 199]) AS h FROM (SELECT doc_id, raw, unnest(range(1, n - 198)) AS i FROM b WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY doc_id, run),
+p AS (SELECT doc_id, coalesce(lag(z) OVER o, 1) AS a, a - 1 AS z FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(z), NULL FROM s GROUP BY doc_id),
+t AS (SELECT b.doc_id, unhex(string_agg(CASE WHEN coalesce(p.z, n) >= p.a THEN hex(raw[p.a:coalesce(p.z, n)]) ELSE '' END, '' ORDER BY p.a)) AS kept FROM p JOIN b ON b.doc_id = p.doc_id GROUP BY b.doc_id)
+SELECT b.doc_id, n AS n_bytes, CAST(coalesce(x.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(x.spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN x.spans IS NULL THEN raw ELSE t.kept END) AS kept_sha256
+FROM b LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id) x ON x.doc_id = b.doc_id LEFT JOIN t ON t.doc_id = b.doc_id
+"""
