@@ -17,8 +17,8 @@ whole, and one of each stands for the others in the shards. Texts are shuffled o
 
 Cases: null texts are empty; texts under 200 bytes lose nothing; each row is a document of its own, so repeated
 rows are removed whole; a null doc_id is like any other; extra columns are ignored; the empty table gives no rows.
-A very frequent anchor's chunks meet in one task: equal ones are one variant there, but a passage that stands in
-very many different surroundings makes as many variants at its ends; that task sorts them on disk.
+An anchor of more than ``HOT`` texts would make a shard of unbounded size; its windows are counted one by one
+instead, by a hash of the window and with partial aggregates, which gives the same bytes.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from .common import arrow_map, shared_dir, stored, table
 from .induced import _hashes, _span, suffix_order
 
 SPAN, MER = 200, 24
+HOT = 200_000  # texts with an anchor from which its windows are counted and not sorted
 SHARD = 10_000  # chunks of a shard on average; their number grows with the input
 MEMORY = 96 << 20  # bytes of a shard's text from which its arrays are files
 U = np.uint64
@@ -105,12 +106,7 @@ def chunks_of(texts: DataFrame) -> DataFrame:
         rk, parts, blobs = b.column("rk").to_numpy(zero_copy_only=False), [], []
         wanted = b.column("hs")
         for a, z, c in T.chunks(*T.buffers(b.column("text"))):
-            first, last, h, doc = superwindows(c)
-            sets = wanted.slice(a, z - a)
-            flat, owner = sets.flatten().to_numpy(zero_copy_only=False).view(U), np.repeat(np.arange(z - a), np.diff(sets.offsets.to_numpy()))
-            mine = T.mix(h ^ T.mix(doc.astype(U)))
-            keep = np.isin(mine, T.mix(flat ^ T.mix(owner.astype(U))))
-            first, last, h, doc = first[keep], last[keep], h[keep], doc[keep]
+            first, last, h, doc = _wanted(c, wanted.slice(a, z - a))
             if len(h):
                 v = c.spans(first, last + SPAN)
                 parts.append((h.view(np.int64), v.view(np.int64), rk[a + doc], first - c.off[doc], last - first + SPAN))
@@ -129,6 +125,31 @@ def chunks_of(texts: DataFrame) -> DataFrame:
     return arrow_map(texts.select("rk", "text", "hs"), kernel, "h long, v long, rk long, at long, chunk binary")
 
 
+def windows_of(texts: DataFrame) -> DataFrame:
+    """(h, w, rk, at): every window of the texts' anchors ``hot``, by anchor hash and window hash."""
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        rk, parts = b.column("rk").to_numpy(zero_copy_only=False), []
+        for a, z, c in T.chunks(*T.buffers(b.column("text"))):
+            first, last, h, doc = _wanted(c, b.column("hot").slice(a, z - a))
+            n = last - first + 1
+            if len(n):
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                d = np.repeat(doc, n)
+                parts.append((np.repeat(h, n).view(np.int64), c.spans(at, at + SPAN).view(np.int64), rk[a + d], at - c.off[d]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["h", "w", "rk", "at"]) if parts else None
+
+    return arrow_map(texts.select("rk", "text", "hot"), kernel, "h long, w long, rk long, at long")
+
+
+def _wanted(c: T.Chunk, sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The superwindows of a chunk whose anchor is in its text's set."""
+    first, last, h, doc = superwindows(c)
+    flat, owner = sets.flatten().to_numpy(zero_copy_only=False).view(U), np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
+    keep = np.isin(T.mix(h ^ T.mix(doc.astype(U))), T.mix(flat ^ T.mix(owner.astype(U))))
+    return first[keep], last[keep], h[keep], doc[keep]
+
+
 def _array(n: int, dtype, folder: str, name: str) -> np.ndarray:
     """In memory, or a file of the task beyond ``MEMORY``."""
     return np.zeros(n, dtype) if n * np.dtype(dtype).itemsize < MEMORY else np.memmap(os.path.join(folder, name), dtype, "w+", shape=(n,))
@@ -229,7 +250,7 @@ def cut(texts: DataFrame, whole: bool) -> DataFrame:
     return arrow_map(texts.select("rk", "text", "gone"), kernel, "rk long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole)
 
 
-def byte_deduplicated(docs: DataFrame, whole: bool = False) -> DataFrame:
+def byte_deduplicated(docs: DataFrame, whole: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row, with ``whole`` also the kept bytes as binary."""
     folder = shared_dir(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -237,13 +258,18 @@ def byte_deduplicated(docs: DataFrame, whole: bool = False) -> DataFrame:
     heads = rows.select("doc_id", "rk", "c1", F.xxhash64(F.lit("text"), "text").alias("c2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     heads = stored(heads, f"{folder}/heads")
     contents = stored(heads.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min("rk").alias("rk")), f"{folder}/contents")
-    shared = anchors(rows, True).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h")
+    shared = anchors(rows, True).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.count(F.lit(1)) > hot).alias("hot")).filter("lo < hi").select("h", "hot")
     shared = stored(shared, f"{folder}/anchors")
-    found = anchors(rows, False).join(shared, "h").groupBy("rk").agg(F.collect_set("h").alias("hs"))
+    mine = lambda c: F.collect_set(F.when(c, F.col("h")))
+    found = anchors(rows, False).join(shared, "h").groupBy("rk").agg(mine(~F.col("hot")).alias("hs"), mine(F.col("hot")).alias("hot"))
     found = stored(found.join(contents.select("rk"), "rk", "left_semi"), f"{folder}/found")
     texts = rows.select("rk", "text").join(found.hint("merge"), "rk")
     n = found.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0)).alias("n")).first()["n"]
     gone = chunks_of(texts).repartition(max(1, -(-n // SHARD)), "h").mapInArrow(sort_shard, "rk long, start long, end long")
+    if not shared.filter("hot").isEmpty():
+        windows = windows_of(texts)
+        again = stored(windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), f"{folder}/windows")
+        gone = gone.unionByName(windows.join(again, ["h", "w"]).select("rk", F.col("at").alias("start"), (F.col("at") + SPAN).alias("end")))
     gone = gone.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     done = cut(texts.join(gone.hint("merge"), "rk"), whole)
     out = heads.join(contents.select("c1", "c2", "copies"), ["c1", "c2"]).join(done.dropDuplicates(["rk"]), "rk", "left")

@@ -136,6 +136,8 @@ def test_suffix_dedup_matches_brute_force(make):
     rows = suffix_dedup.byte_deduplicated(make(texts), whole=True).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
     assert [got[k] for k in range(len(texts))] == bytes_brute(texts)
+    counted = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.byte_deduplicated(make(texts), hot=4).collect()}
+    assert counted == got  # frequent anchors by counting windows
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
 
 
