@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, apart: Column | None = None
     """(doc_id, held_out, lang_pred, score) for each row; with ``rows`` also the whole row as a struct ``row``."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = buffers(b.column("text"))
+        data, off = buffers(b.column("row").field("text") if rows else b.column("text"))
         n = len(off) - 1
         letters = np.zeros(len(data) + 1, np.int64)
         np.cumsum(LETTER[data], out=letters[1:])
@@ -176,7 +176,8 @@ def identify(docs: DataFrame, model: ByteCNN | None, apart: Column | None = None
         return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     names = ["doc_id", "held_out", *(["row"] if rows else [])]
-    told = docs.select("doc_id", (F.lit(False) if apart is None else apart).alias("held_out"), "text", *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []))
+    text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if rows else F.col("text")
+    told = docs.select("doc_id", (F.lit(False) if apart is None else apart).alias("held_out"), text)
     types = dict(told.dtypes)
     return arrow_map(told, kernel, ", ".join([*(f"{x} {types[x]}" for x in names), "lang_pred string", "score double"]))
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,19 +47,21 @@ def framed(words: list[bytes]) -> bytes:
     return b"".join(FRAME[0] + w + FRAME[1] for w in words)
 
 
-def dictionaries(docs: list[set[bytes]], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) content: the words that most documents of the class have; toxic ones must be over-represented. The most telling stand last, nearest to a window."""
-    df = [Counter(), Counter()]
+def dictionaries(docs: list[np.ndarray], toxic: np.ndarray, names: list[bytes]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) content: the words that most documents of the class have; toxic ones must be over-represented. The
+    most telling stand last, nearest to a window. Documents are arrays of distinct word numbers."""
+    df = np.zeros((2, len(names)), np.int64)
     for words, x in zip(docs, toxic):
-        df[int(x)].update(words)
+        df[int(x)][words] += 1
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
-    least = max(MIN_DOCS, MIN_SHARE * n1)
-    lift = lambda w: df[1][w] / n1 / ((df[0][w] + 0.5) / n0)
-    chosen = {w: df[1][w] * np.log(lift(w)) for w, c in df[1].items() if c >= least and lift(w) >= LIFT}
-    bad = sorted(chosen, key=lambda w: (-chosen[w], w))[:TOXIC_WORDS]
-    plain = [w for w, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0]))[: ORDINARY_WORDS + len(chosen)] if w not in chosen][:ORDINARY_WORDS]
-    return framed(plain[::-1]) or FRAME[0] + FRAME[1], framed(bad[::-1]) or FRAME[0] + FRAME[1]
+    lift = df[1] / n1 / ((df[0] + 0.5) / n0)
+    chosen = np.flatnonzero((df[1] >= max(MIN_DOCS, MIN_SHARE * n1)) & (lift >= LIFT)).tolist()
+    bad = sorted(chosen, key=lambda i: (-df[1][i] * np.log(lift[i]), names[i]))[:TOXIC_WORDS]
+    often = np.argsort(-df[0], kind="stable")[: ORDINARY_WORDS + len(chosen) + 1000].tolist()
+    plain = sorted((i for i in set(often) - set(chosen) if df[0][i]), key=lambda i: (-df[0][i], names[i]))[:ORDINARY_WORDS]
+    content = lambda ids: framed([names[i] for i in reversed(ids)]) or FRAME[0] + FRAME[1]
+    return content(plain), content(bad)
 
 
 @dataclass
@@ -116,23 +117,26 @@ def fit(texts: list[bytes], toxic: list[int], counts: tuple[int, int], seed: int
     base = counts[1] / max(1, sum(counts))
     if len(np.unique(y)) < 2:
         return Model(base)
-    words = [_word(t) for t in texts]
-    sets = [set(w) for w in words]
+    numbers: dict[bytes, int] = {}
+    words = [np.array([numbers.setdefault(w, len(numbers)) for w in _word(t)], np.int32) for t in texts]
+    names, sets = list(numbers), [np.unique(w) for w in words]
     fold = np.array([zlib.crc32(t, seed) % 2 for t in texts])
-    cell: list[np.ndarray | None] = [None] * len(y)
+    cell: list[np.ndarray] = [np.zeros(0, np.int64)] * len(y)
     for k in (0, 1):
-        half = Model(base, [Compressor(c) for c in dictionaries([s for s, f in zip(sets, fold) if f != k], y[fold != k])])
-        known = sorted(set().union(*(s for s, f in zip(sets, fold) if f == k)))
-        of = dict(zip(known, half.cells(known).tolist()))
-        for i in np.flatnonzero(fold == k):
-            cell[i] = np.array([of[w] for w in words[i]], np.int64)
+        half = Model(base, [Compressor(c) for c in dictionaries([s for s, f in zip(sets, fold) if f != k], y[fold != k], names)])
+        here = np.flatnonzero(fold == k)
+        known = np.unique(np.concatenate([np.zeros(0, np.int32), *(sets[i] for i in here)]))
+        of = np.zeros(len(names), np.int64)
+        of[known] = half.cells([names[i] for i in known.tolist()])
+        for i in here:
+            cell[i] = of[words[i]]
     seen, n = np.zeros((2, int(np.prod(SHAPE)))), np.bincount(y, minlength=2)
     for c, x in zip(cell, y):
         seen[x][np.unique(c)] += 1
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds[seen.sum(0) < 3] = 0
     x = np.array([features(odds[c], len(c)) for c in cell])
-    m = Model(base, [Compressor(c) for c in dictionaries(sets, y)], odds.astype(np.float32), x.mean(0), x.std(0) + 1e-9)
+    m = Model(base, [Compressor(c) for c in dictionaries(sets, y, names)], odds.astype(np.float32), x.mean(0), x.std(0) + 1e-9)
     x = np.c_[(x - m.mean) / m.scale, np.ones(len(x))]
     rows = np.array(counts)[y] / n[y]
     rows = rows / rows.mean()
@@ -189,7 +193,7 @@ class Scorer:
         out = np.full(len(off) - 1, self.model.base)
         if self.model.weight is None:
             return out
-        for a, b, c in T.chunks(data, off, 8 << 20, Words):
+        for a, b, c in T.chunks(data, off, 4 << 20, Words):
             v = self.look_up(c)
             v = np.where(v > TELLING, v, 0)
             doc, n = c.word_doc, b - a
