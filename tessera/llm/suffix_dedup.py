@@ -5,12 +5,13 @@ Every byte that a 200-byte string covers which also starts anywhere else in the
 1. *Anchors.* The anchor of a 200-byte window is the least hash of its 24-byte strings (the leftmost of equals), so equal
    windows have equal anchors wherever they stand. Neighbouring windows share an anchor; about one position in 69 is
    one. Anchor hashes that one text alone has, once, are dropped (a partial aggregate over all texts).
-2. *Shards.* For each remaining anchor of a text the bytes of its windows are one chunk. Chunks are shuffled by anchor, so
-   that equal windows meet in one task; within a batch equal chunks travel once.
+2. *Shards.* For each remaining anchor of a text the bytes of its windows are one chunk. Distinct chunks of a batch are
+   shuffled by anchor, so that equal windows meet in one task; where they came from stays behind.
 3. *Induced sorting.* A task sorts the suffixes of its distinct chunks with ``induced.suffix_order``, whose queues,
    and beyond ``MEMORY`` bytes text and hash sums too, are files in the task's own folder, deleted at its end. Windows next to each
    other in suffix order whose common prefix is 200 bytes or more (compared by hash sums) are repeated.
-4. The repeated intervals go back to their texts, which are joined with them and cut.
+4. The repeated intervals of the chunks join the chunks' places (Spark may split a hot one) and then their texts,
+   which are cut.
 
 Exact copies are found before all that by a 128-bit hash of the text: with 200 bytes or more they are removed
 whole, and one of each stands for the others in the shards. Texts are shuffled once (chunks and cutting reuse it).
@@ -99,30 +100,31 @@ def anchors(docs: DataFrame, spread: bool) -> DataFrame:
     return arrow_map(docs.select("rk", "c1", "text"), kernel, "h long, lo long, hi long" if spread else "h long, rk long")
 
 
-def chunks_of(texts: DataFrame) -> DataFrame:
-    """(h, v, rk, at, chunk) of the texts' wanted anchors ``hs``; chunk is null where the batch has sent it already."""
+def chunks_of(texts: DataFrame, places: bool) -> DataFrame:
+    """The chunks of the texts' anchors ``hs``: distinct (h, v, n, chunk) of a batch, n times each, or with ``places`` all (h, v, rk, at)."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
         rk, parts, blobs = b.column("rk").to_numpy(zero_copy_only=False), [], []
-        wanted = b.column("hs")
         for a, z, c in T.chunks(*T.buffers(b.column("text"))):
-            first, last, h, doc = _wanted(c, wanted.slice(a, z - a))
-            if len(h):
-                v = c.spans(first, last + SPAN)
-                parts.append((h.view(np.int64), v.view(np.int64), rk[a + doc], first - c.off[doc], last - first + SPAN))
+            first, last, h, doc = _wanted(c, b.column("hs").slice(a, z - a))
+            if not len(h):
+                continue
+            v = c.spans(first, last + SPAN)
+            parts.append((h.view(np.int64), v.view(np.int64), rk[a + doc], first - c.off[doc]))
+            if not places:
                 raw = c.data.tobytes()
                 blobs += [raw[x:y] for x, y in zip(first.tolist(), (last + SPAN).tolist())]
         if not parts:
             return None
-        h, v, rk_, at, _ = (np.concatenate(x) for x in zip(*parts))
+        h, v, rk_, at = (np.concatenate(x) for x in zip(*parts))
+        if places:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(v), pa.array(rk_), pa.array(at)], names=["h", "v", "rk", "at"])
         order = np.lexsort((v, h))
-        same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (v[order][1:] == v[order][:-1])])
-        sent = np.zeros(len(h), bool)
-        sent[order[same]] = True
-        text = pa.array([None if s else t for s, t in zip(sent, blobs)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(v), pa.array(rk_), pa.array(at), text], names=["h", "v", "rk", "at", "chunk"])
+        new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (v[order][1:] != v[order][:-1])]))
+        some, n = order[new], np.diff(np.append(new, len(order)))
+        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(v[some]), pa.array(n), pa.array([blobs[k] for k in some.tolist()], pa.binary())], names=["h", "v", "n", "chunk"])
 
-    return arrow_map(texts.select("rk", "text", "hs"), kernel, "h long, v long, rk long, at long, chunk binary")
+    return arrow_map(texts.select("rk", "text", "hs"), kernel, "h long, v long, rk long, at long" if places else "h long, v long, n long, chunk binary")
 
 
 def windows_of(texts: DataFrame) -> DataFrame:
@@ -187,24 +189,22 @@ def repeated_windows(blobs: list[bytes], folder: str, span: int = SPAN) -> tuple
 
 
 def sort_shard(batches) -> "list[pa.RecordBatch]":
-    """One task's chunks in, (rk, start, end) of repeated bytes out."""
-    cols: list[list] = [[] for _ in range(4)]
+    """One task's chunks in, (h, v, start, end) of their repeated bytes out."""
+    cols: list[list] = [[], [], []]
     texts: list[pa.Array] = []
     for b in batches:
-        for k, name in enumerate(("h", "v", "rk", "at")):
+        for k, name in enumerate(("h", "v", "n")):
             cols[k].append(b.column(name).to_numpy(zero_copy_only=False))
         texts.append(b.column("chunk"))
     if not cols[0]:
         return
-    h, v, rk, at = (np.concatenate(x) for x in cols)
-    text = pa.chunked_array(texts)
-    filled = ~text.is_null().to_numpy()
-    order = np.lexsort((~filled, v, h))
+    h, v, n = (np.concatenate(x) for x in cols)
+    order = np.lexsort((v, h))
     new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (v[order][1:] != v[order][:-1])]))
-    count = np.diff(np.append(new, len(order)))
-    variant = np.empty(len(h), np.int64)
-    variant[order] = np.repeat(np.arange(len(new)), count)
-    blobs = text.take(pa.array(order[new])).to_pylist()
+    count = np.add.reduceat(n[order], new)
+    one = order[new]
+    blobs = pa.chunked_array(texts).take(pa.array(one)).to_pylist()
+    del texts
     folder = tempfile.mkdtemp(prefix="shard-")
     try:
         flags, off = repeated_windows(blobs, folder)
@@ -216,11 +216,7 @@ def sort_shard(batches) -> "list[pa.RecordBatch]":
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8)]), append=0))
     a, z = edge[::2], edge[1::2]  # runs of window starts, none across a separator
     owner = np.searchsorted(off, a, "right") - 1
-    lo, hi = np.searchsorted(owner, variant, "left"), np.searchsorted(owner, variant, "right")
-    n = hi - lo
-    run = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    base = np.repeat(at, n) - off[owner[run]]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rk, n)), pa.array(base + a[run]), pa.array(base + z[run] - 1 + SPAN)], names=["rk", "start", "end"])
+    yield pa.RecordBatch.from_arrays([pa.array(h[one][owner]), pa.array(v[one][owner]), pa.array(a - off[owner]), pa.array(z - 1 + SPAN - off[owner])], names=["h", "v", "start", "end"])
 
 
 def cut(texts: DataFrame, whole: bool) -> DataFrame:
@@ -265,7 +261,8 @@ def byte_deduplicated(docs: DataFrame, whole: bool = False, hot: int = HOT) -> D
     found = stored(found.join(contents.select("rk"), "rk", "left_semi"), f"{folder}/found")
     texts = rows.select("rk", "text").join(found.hint("merge"), "rk")
     n = found.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0)).alias("n")).first()["n"]
-    gone = chunks_of(texts).repartition(max(1, -(-n // SHARD)), "h").mapInArrow(sort_shard, "rk long, start long, end long")
+    shards = chunks_of(texts, False).repartition(max(1, -(-n // SHARD)), "h").mapInArrow(sort_shard, "h long, v long, start long, end long")
+    gone = chunks_of(texts, True).join(shards.hint("merge"), ["h", "v"]).select("rk", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
     if not shared.filter("hot").isEmpty():
         windows = windows_of(texts)
         again = stored(windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), f"{folder}/windows")
