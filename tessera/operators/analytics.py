@@ -21,7 +21,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, del
     """(node, rank), summing to 1. Dangling mass is spread like the teleport, evenly or over ``seeds`` (column ``node``).
 
     Links and out-degrees are stored once, dealt by source; a round is one join and one aggregate, written to the shared
-    folder, and one number to the driver, the largest change.
+    folder, and two numbers to the driver, the largest change and the dangling mass.
     """
     spark = edges.sparkSession
     folder = shared_dir(spark)
@@ -41,13 +41,13 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, del
         return nodes.select("node", F.lit(0.0).alias("rank"))
     jump = F.when(F.col("seed"), 1.0 / max(1, seeded)).otherwise(0.0)
     ranks = stored(nodes.select("node", "n", "seed", F.lit(1.0 / total).alias("rank")), f"{folder}/0")
+    lost = nodes.filter("n IS NULL").count() / total
     for k in range(1, max_rounds + 1):
-        lost = ranks.filter("n IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("given"))
         new = (1 - damping) * jump + damping * (F.coalesce("given", F.lit(0.0)) + lost * jump)
         after = ranks.join(given, "node", "left").select("node", "n", "seed", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         after = stored(after, f"{folder}/{k}")
-        change = after.agg(F.max("change")).first()[0]
+        change, lost = after.agg(F.max("change"), F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("rank"))), F.lit(0.0))).first()
         remove_dir(spark, f"{folder}/{k - 1}")
         ranks = after.drop("change")
         if change < delta:

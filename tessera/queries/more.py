@@ -43,7 +43,7 @@ def geometry_points(spark, d):
     return p.select(F.col("p_partkey").alias("part"), (far * far < 1250).alias("near"), geo.within(at, F.lit("POLYGON((10 5, 40 5, 40 45, 10 45, 10 5))")).alias("inside"), F.round(far, 9).alias("distance"))
 
 
-@query("""SELECT 12.0 AS area, 7.0 AS length, 'POLYGON((0.0 0.0, 4.0 0.0, 4.0 3.0, 0.0 3.0, 0.0 0.0))' AS box, true AS meet, 'LINESTRING' AS kind""")
+@query("""SELECT CAST(12 AS DOUBLE) AS area, CAST(7 AS DOUBLE) AS length, 'POLYGON((0.0 0.0, 4.0 0.0, 4.0 3.0, 0.0 3.0, 0.0 0.0))' AS box, true AS meet, 'LINESTRING' AS kind""")
 def geometry_shapes(spark, d):
     square, line = F.lit("POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))"), F.lit("LINESTRING (0 0, 4 0, 4 3)")
     return spark.range(1).select(geo.area(square).alias("area"), geo.length(line).alias("length"), geo.envelope(line).alias("box"), geo.boxes_meet(square, F.lit("POINT(4 3)")).alias("meet"), geo.kind(line).alias("kind"))

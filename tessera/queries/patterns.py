@@ -125,7 +125,7 @@ def group_concat_sample(spark, d):
     return rows.groupBy(F.col("region.v").alias("region")).agg(G.group_concat(n, "|", True).alias("nations"), G.sample(n)["v"].alias("first"), G.count(n, True).alias("n"))
 
 
-@query("""SELECT 0 AS n, 0.0 AS total, 0.0 AS mean""")
+@query("""SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS mean""")
 def aggregate_of_nothing(spark, d):
     rows = A.match(graph(spark, d, "region"), ("?s", EX + "population", "?x"), "")
     return rows.agg(G.count(F.col("x")).alias("n"), num(G.sum_(F.col("x"))).alias("total"), num(G.avg(F.col("x"))).alias("mean"))

@@ -142,7 +142,7 @@ def hypothetical_move(spark, d):
     return out.filter(F.col("p") == IN).select(F.col("s.v").alias("s"), "change")
 
 
-@query("""SELECT 'urn:doc:' || doc_id AS d, round(CASE WHEN quality = 1 AND toxic = 1 THEN 1 - (1 - 0.9 * 0.8) * (1 - 0.5 * 0.8) WHEN quality = 1 THEN 0.9 * 0.8 ELSE 0.5 * 0.8 END, 9) AS confidence FROM labels WHERE quality = 1 OR toxic = 1""")
+@query("""SELECT 'urn:doc:' || doc_id AS d, CAST(round(CASE WHEN quality = 1 AND toxic = 1 THEN 1 - (1 - 0.9 * 0.8) * (1 - 0.5 * 0.8) WHEN quality = 1 THEN 0.9 * 0.8 ELSE 0.5 * 0.8 END, 9) AS DOUBLE) AS confidence FROM labels WHERE quality = 1 OR toxic = 1""")
 def noisy_or_rules(spark, d):
     g = graph(spark, d, "labels").withColumn("g", F.lit(""))
     facts = g.filter(F.col("p").isin(EX + "quality", EX + "toxic") & (F.col("o.v") == "1"))
