@@ -12,6 +12,7 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..terms import TERM, constant, iri
 
@@ -22,6 +23,11 @@ def var(x: object) -> str | None:
     return x[1:] if isinstance(x, str) and x.startswith("?") else None
 
 
+def same(a: Column, b: Column) -> Column:
+    """Equality of terms field by field: constant fields fold away, so that of two mapped IRIs only the strings are compared."""
+    return (a["v"] == b["v"]) & (a["k"] == b["k"]) & (a["dt"] == b["dt"]) & (a["lang"] == b["lang"])
+
+
 def match(quads: DataFrame, pattern: Pattern, graph: str | None = None) -> DataFrame:
     """Solutions of one triple pattern. ``graph``: None any graph (merged), "" the default one, an IRI, or "?g" (named graphs only)."""
     s, p, o = pattern
@@ -32,14 +38,14 @@ def match(quads: DataFrame, pattern: Pattern, graph: str | None = None) -> DataF
         col = iri(F.col(name)) if name in "pg" else F.col(name)
         if v := var(x):
             if v in seen:
-                rows = rows.filter(seen[v] == col)
+                rows = rows.filter(same(seen[v], col))
             else:
                 seen[v] = col
                 out.append(col.alias(v))
         elif name == "p":
             rows = rows.filter(F.col("p") == x)
         elif name != "g":
-            rows = rows.filter(col == constant(x))
+            rows = rows.filter(same(col, constant(x)))
     found = rows.select(*out) if out else rows.select(F.lit(1).alias("_one"))
     return found.distinct() if graph is None else found  # the merge of graphs is a set
 
@@ -58,6 +64,11 @@ def shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns and c != "_one"]
 
 
+def _equal(a: DataFrame, c: str, tag: str) -> Column:
+    x, y = F.col(c), F.col(f"{c}_{tag}")
+    return same(x, y) if isinstance(a.schema[c].dataType, StructType) else x == y
+
+
 def join(a: DataFrame, b: DataFrame, maybe: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Compatible-mapping join. ``maybe``: shared variables that may be unbound on a side."""
     on = shared(a, b)
@@ -65,11 +76,12 @@ def join(a: DataFrame, b: DataFrame, maybe: list[str] | None = None, how: str =
     if not on:
         return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
     loose = [c for c in on if c in (maybe or [])]
-    if not loose:
-        return a.join(b, on, how)
     tag = uuid4().hex[:6]
     right = b.select([F.col(c).alias(f"{c}_{tag}") if c in on else F.col(c) for c in b.columns])
-    firm = [F.col(c) == F.col(f"{c}_{tag}") for c in on if c not in loose]
+    firm = [_equal(a, c, tag) for c in on if c not in loose]
+    if not loose:
+        both = a.join(right, reduce(Column.__and__, firm), how)
+        return both if how in ("left_semi", "left_anti") else both.drop(*[f"{c}_{tag}" for c in on])
     if how == "inner":
         # every way in which the loose variables can be bound on each side is one equi-join
         parts = []
@@ -99,7 +111,7 @@ def optional(a: DataFrame, b: DataFrame, condition: Column | None = None, maybe:
     on = shared(a, b)
     tag = uuid4().hex[:6]
     right = b.select([F.col(c).alias(f"{c}_{tag}") if c in on else F.col(c) for c in b.columns])
-    conds = [F.col(c) == F.col(f"{c}_{tag}") for c in on] + [condition]
+    conds = [_equal(a, c, tag) for c in on] + [condition]
     return a.join(right, reduce(Column.__and__, conds), "left").drop(*[f"{c}_{tag}" for c in on])
 
 
@@ -114,7 +126,7 @@ def minus(a: DataFrame, b: DataFrame, maybe: list[str] | None = None) -> DataFra
         return a
     loose = [c for c in on if c in (maybe or [])]
     if not loose:
-        return a.join(b.select(on).distinct(), on, "left_anti")
+        return join(a, b.select(on), how="left_anti")
     tag = uuid4().hex[:6]
     right = b.select([F.col(c).alias(f"{c}_{tag}") for c in on]).distinct()
     each = [F.col(c).isNull() | F.col(f"{c}_{tag}").isNull() | (F.col(c) == F.col(f"{c}_{tag}")) for c in on]
@@ -123,11 +135,11 @@ def minus(a: DataFrame, b: DataFrame, maybe: list[str] | None = None) -> DataFra
 
 
 def exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, shared(a, b), "left_semi") if shared(a, b) else a.filter(F.lit(not b.isEmpty()))
+    return join(a, b, how="left_semi") if shared(a, b) else a.filter(F.lit(not b.isEmpty()))
 
 
 def not_exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, shared(a, b), "left_anti") if shared(a, b) else a.filter(F.lit(b.isEmpty()))
+    return join(a, b, how="left_anti") if shared(a, b) else a.filter(F.lit(b.isEmpty()))
 
 
 def extend(a: DataFrame, name: str, value: Column) -> DataFrame:

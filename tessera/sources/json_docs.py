@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import QUAD
-from ..terms import iri, literal
+from ..terms import LITERAL, iri, term
 
 
 def json_quads(df: DataFrame, key: str, column: str, vocabulary: str, graph: str = "") -> DataFrame:
     """Each top-level field of the JSON object in ``column`` is a literal about the IRI ``key``; numbers are integers or decimals."""
     rows = df.select(F.col(key).alias("id"), F.explode(F.from_json(column, "map<string,string>")).alias("f", "v")).filter("v IS NOT NULL")
     kind = F.when(F.col("v").rlike(r"^-?\d+$"), "http://www.w3.org/2001/XMLSchema#integer").when(F.col("v").rlike(r"^-?\d+\.\d+$"), "http://www.w3.org/2001/XMLSchema#decimal").otherwise("")
-    return rows.select(iri(F.col("id")).alias("s"), F.concat(F.lit(vocabulary), F.col("f")).alias("p"), literal(F.col("v")).withField("dt", kind).alias("o"), F.lit(graph).alias("g"))
+    return rows.select(iri(F.col("id")).alias("s"), F.concat(F.lit(vocabulary), F.col("f")).alias("p"), term(LITERAL, F.col("v"), kind).alias("o"), F.lit(graph).alias("g"))
 
 
 def ingest(quads: DataFrame, new: DataFrame, mode: str = "append") -> DataFrame:

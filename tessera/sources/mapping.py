@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..terms import TYPE, iri, literal
+from ..terms import IRI, LITERAL, NUMERIC, TYPE, XSD, bare
 
 EX = "http://example.org/"
 
@@ -53,13 +53,27 @@ def from_template(template: str) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
+def _columns(template: str) -> list[str]:
+    return [x.split("}")[0] for x in template.split("{")[1:]]
+
+
 def mapped(df: DataFrame, m: TableMap) -> DataFrame:
-    subject = iri(from_template(m.subject)).alias("s")
-    rows = lambda p, o: df.select(subject, F.lit(p).alias("p"), o.alias("o"), F.lit(m.graph).alias("g")).filter("s IS NOT NULL AND o IS NOT NULL")
-    parts = [rows(TYPE, iri(m.cls))]
+    """The quads of one table. Null source columns are filtered out first, so terms are plain structs whose fields fold to source columns."""
+    none, plain = F.lit(None).cast("double"), F.lit("")
+    as_iri = lambda v: bare(IRI, v, plain, plain, none)
+
+    def rows(p: str, o: Column, used: list[str]) -> DataFrame:
+        full = reduce(Column.__and__, [F.col(c).isNotNull() for c in dict.fromkeys([*_columns(m.subject), *used])])
+        return df.filter(full).select(as_iri(from_template(m.subject)).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(m.graph).alias("g"))
+
+    parts = [rows(TYPE, as_iri(F.lit(m.cls)), [])]
     for p, o in m.objects.items():
-        made = iri(from_template(o.template)) if isinstance(o, Link) else literal(F.col(o.column).cast("string"), o.datatype, F.col(o.lang) if o.lang else "")
-        parts.append(rows(p, made))
+        if isinstance(o, Link):
+            parts.append(rows(p, as_iri(from_template(o.template)), _columns(o.template)))
+        else:
+            dt = XSD + o.datatype if o.datatype else ""
+            lang = F.coalesce(F.col(o.lang), plain) if o.lang else plain
+            parts.append(rows(p, bare(LITERAL, F.col(o.column), F.lit(dt), lang, F.col(o.column).cast("double") if dt in NUMERIC else none), [o.column]))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,7 +1,9 @@
-"""RDF terms as Spark columns: a struct (k, v, dt, lang) of kind, lexical form, datatype and language.
+"""RDF terms as Spark columns: a struct (k, v, dt, lang, n) of kind, lexical form, datatype, language and numeric value.
 
 ``k``: 0 IRI, 1 blank node, 2 plain or typed literal, 5 quoted triple. Absent datatype and language are empty strings,
-so terms compare and join as plain structs; an unbound variable is a null struct.
+so terms compare and join as plain structs; an unbound variable is a null struct. ``n`` follows from ``v`` and ``dt``
+(null unless the datatype is numeric); it is kept so that a filter on a mapped number is a filter on its own column,
+which reaches the Parquet scan, and needs no parsing.
 """
 
 from __future__ import annotations
@@ -16,14 +18,22 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
 TYPE = RDF + "type"
-TERM = "struct<k:int,v:string,dt:string,lang:string>"
+TERM = "struct<k:int,v:string,dt:string,lang:string,n:double>"
 NUMERIC = [XSD + x for x in ("integer", "decimal", "double", "float", "long", "int", "short", "byte")]
 
 
-def term(k: int, v: Column, dt: Column | str = "", lang: Column | str = "") -> Column:
+def term(k: int, v: Column, dt: Column | str = "", lang: Column | str = "", n: Column | None = None) -> Column:
+    """``n``: the numeric value where it is at hand; otherwise it is read from the lexical form."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    made = F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"), as_col(dt).alias("dt"), as_col(lang).alias("lang"))
-    return F.when(v.isNotNull(), made)
+    if n is None:
+        known = isinstance(dt, str)
+        n = F.lit(None).cast("double") if k != LITERAL or known and dt not in NUMERIC else v.try_cast("double") if known else F.when(dt.isin(NUMERIC), v.try_cast("double"))
+    return F.when(v.isNotNull(), bare(k, v, as_col(dt), as_col(lang), n))
+
+
+def bare(k: int, v: Column, dt: Column, lang: Column, n: Column) -> Column:
+    """The struct without the guard against a null ``v``: where nulls are filtered out first, its fields fold to their columns."""
+    return F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"), dt.alias("dt"), lang.alias("lang"), n.alias("n"))
 
 
 def iri(v: Column | str) -> Column:
@@ -34,14 +44,14 @@ def bnode(v: Column) -> Column:
     return term(BNODE, v)
 
 
-def literal(v: Column | str | int | float | bool, dt: str | None = None, lang: Column | str = "") -> Column:
+def literal(v: Column | str | int | float | bool, dt: str | None = None, lang: Column | str = "", n: Column | None = None) -> Column:
     """A literal; Python numbers and booleans get their datatype. ``xsd:string`` is the plain literal."""
     if not isinstance(v, Column):
         if dt is None:
             dt = {bool: "boolean", int: "integer", float: "double"}.get(type(v), "")
         v = F.lit(str(v).lower() if isinstance(v, bool) else str(v))
     full = "" if dt in (None, "", "string") else dt if ":" in dt else XSD + dt
-    return term(LITERAL, v, full, lang)
+    return term(LITERAL, v, full, lang, n)
 
 
 def constant(x: object) -> Column:
@@ -60,7 +70,7 @@ def constant(x: object) -> Column:
 
 def num(t: Column) -> Column:
     """Numeric value, null for terms that are no number."""
-    return F.when((t["k"] == LITERAL) & t["dt"].isin(NUMERIC), t["v"].try_cast("double"))
+    return t["n"]
 
 
 def sort_key(t: Column) -> list[Column]:
