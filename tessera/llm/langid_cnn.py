@@ -155,17 +155,15 @@ def identify(docs: DataFrame, model: ByteCNN | None, apart: Column | None = None
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off = buffers(b.column("row").field("text") if rows else b.column("text"))
         n = len(off) - 1
-        letters = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(LETTER[data], out=letters[1:])
-        lettered = letters[off[1:]] > letters[off[:-1]]
-        for k in np.flatnonzero(~lettered & (np.diff(off) > 0)):
-            lettered[k] = _letter(data[off[k] : off[k + 1]].tobytes().decode()) is not None
-        pred, score = np.full(n, -1), np.zeros(n)
-        if model is not None:
-            for a, z, c in chunks(data, off):
-                win, doc, size = cut(c.data, c.off)
-                if not len(win):
-                    continue
+        lettered, pred, score = np.zeros(n, bool), np.full(n, -1), np.zeros(n)
+        for a, z, c in chunks(data, off):
+            letters = np.zeros(len(c.data) + 1, np.int64)
+            np.cumsum(LETTER[c.data], out=letters[1:])
+            lettered[a:z] = letters[c.off[1:]] > letters[c.off[:-1]]
+            for k in np.flatnonzero(~lettered[a:z] & (np.diff(c.off) > 0)):
+                lettered[a + k] = _letter(c.data[c.off[k] : c.off[k + 1]].tobytes().decode()) is not None
+            win, doc, size = cut(c.data, c.off)
+            if model is not None and len(win):
                 p = model.probabilities(win) * size[:, None]
                 mean = np.stack([np.bincount(doc, p[:, k], z - a) for k in range(len(model.langs))], 1) / np.maximum(np.diff(c.off), 1)[:, None]
                 pred[a:z], score[a:z] = mean.argmax(1), mean.max(1)
