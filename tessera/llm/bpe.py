@@ -30,7 +30,7 @@ from .common import arrow_map, keyed, table
 
 BITS = 8
 WIDTH = 1 << BITS  # bits in a word of the bitmaps
-KEPT, KEPT_CHARS = 700_000, 48  # entries of a worker's pre-token table, and the longest pre-token that it keeps
+KEPT, KEPT_CHARS = 250_000, 48  # entries of a worker's pre-token table, and the longest pre-token that it keeps
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -37,7 +37,7 @@ from .tiling import Words
 
 PER_CLASS, ORDINARY_WORDS, TOXIC_WORDS = 3000, 8000, 2000
 LEVEL, LIFT, MIN_SHARE, MIN_DOCS, TELLING = 15, 8.0, 0.006, 3, 1.0
-KEPT = 2_000_000
+KEPT = 1_000_000
 FRAME = bytes(range(2, 10)), bytes(range(14, 22))
 SHAPE = (16, 64, 64)
 _word = re.compile(rb"[0-9a-z\x80-\xff]+").findall
