@@ -26,10 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, keyed, table
+from .common import keyed, table
 
 BITS = 8
 WIDTH = 1 << BITS  # bits in a word of the bitmaps
+ROWS = 1000  # texts encoded at a time
 KEPT, KEPT_CHARS = 250_000, 48  # entries of a worker's pre-token table, and the longest pre-token that it keeps
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -192,7 +193,7 @@ def encoder(raw: bytes, pattern: str) -> BytePairEncoder:
     return BytePairEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern)
 
 
-def _groups(texts: list[str], most: int = 8 << 20):
+def _groups(texts: list[str], most: int = 2 << 20):
     """Runs of texts of about ``most`` characters, so that a batch of long texts does not stand in memory at once."""
     run, size = [], 0
     for t in texts:
@@ -212,23 +213,25 @@ def byte_bpe(docs: DataFrame, ranks: bytes, pattern: str, tokens: bool = False)
     """
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         enc = encoder(sent.value, pattern)
-        n, ids_sha, text_sha, ids = [], [], [], []
-        for texts in _groups(b.column("text").to_pylist()):
-            for got in enc.encode_all(texts):
-                n.append(len(got) // 4)
-                ids_sha.append(hashlib.sha256(got).hexdigest())
-                text_sha.append(hashlib.sha256(enc.decode(got)).hexdigest())
+        for b in batches:
+            for a in range(0, b.num_rows, ROWS):
+                part, n, ids_sha, text_sha, ids = b.slice(a, ROWS), [], [], [], []
+                for texts in _groups(part.column("text").to_pylist()):
+                    for got in enc.encode_all(texts):
+                        n.append(len(got) // 4)
+                        ids_sha.append(hashlib.sha256(got).hexdigest())
+                        text_sha.append(hashlib.sha256(enc.decode(got)).hexdigest())
+                        if tokens:
+                            ids.append(np.frombuffer(got, "<i4"))
+                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if tokens:
-                    ids.append(np.frombuffer(got, "<i4"))
-        cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if tokens:
-            cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-        return pa.RecordBatch.from_arrays(cols, names=names)
-
-    return arrow_map(keyed(docs), kernel, SCHEMA + ", ids array<int>" * tokens)
+                    cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return keyed(docs).mapInArrow(run, SCHEMA + ", ids array<int>" * tokens)
 
 
 def public_ranks(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
