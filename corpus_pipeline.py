@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go, and documents of which nothing is left."""
-    return line_dedup.line_deduplicated(docs)
+    """Later copies of whole line runs go, and documents of which nothing is left."""
+    return line_dedup.line_deduplicated(docs, whole=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

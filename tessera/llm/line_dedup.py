@@ -8,8 +8,10 @@ drop out of all further rounds. The classes at depth d are the LCP intervals of
 two or more at the depth where a run starts to count gives the copies of that run, and joined neighbours the maximal run.
 
 A run counts from ``MIN_LINES`` lines on, or from ``MIN_CHARS`` characters on at the depths visited (1, 2, 4 ..
-and ``MIN_LINES``). All lines of a run that has an equal one at an earlier place are deleted; deeper rounds
-could not delete other lines, so doubling ends at ``MIN_LINES``.
+and ``MIN_LINES``). With ``whole`` (the pipeline) all lines of a run that has an equal one at an earlier place are
+deleted. Without it (op1, as in its SQL) a place is judged only at the least depth at which a run from it counts, so
+that up to ``MIN_LINES`` - 1 shorter lines behind the last long line of a run stay. Deeper rounds could not delete
+other lines, so doubling ends at ``MIN_LINES``.
 
 Only DataFrame functions. Lines are grouped with partial aggregates; classes are written to the shared folder
 and joined back, so that a very frequent line is a skewed join that Spark can split. Line text never moves;
@@ -49,8 +51,8 @@ def _classes(rows: DataFrame, by: list[str], folder: str) -> DataFrame:
     return stored(rows.groupBy(*by).agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).filter("first <> last").drop("last"), folder)
 
 
-def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(_ld_doc, _ld_text, gone): the places in its sequence of each text's deleted lines, in order."""
+def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+    """(_ld_doc, _ld_text, gone): the places in its sequence of each text's deleted lines, in order; ``whole``: of whole runs."""
     folder = shared_dir(docs.sparkSession)
     lines = _keys(docs).filter(F.col("text").isNotNull()).select(*KEY, F.posexplode(_sequence(F.col("text"))).alias("seq", "x"))
     lines = lines.select(*PLACE, F.length("x.line").alias("chars"), F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit("line"), "x.line").alias("h2"))
@@ -66,7 +68,7 @@ def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
             break
         step = min(2 * depth, min_lines) - depth
         pairs = found.select(
-            *PLACE, "chars", "rank", (F.col("done") | (F.col("size") >= min_chars)).alias("done"),
+            *PLACE, "chars", "rank", F.lit(False).alias("done") if whole else (F.col("done") | (F.col("size") >= min_chars)).alias("done"),
             F.sum("chars").over(at.rowsBetween(0, depth + step - 1)).alias("size"),
             F.lead("rank", step).over(at).alias("rank2"), F.lead("seq", step).over(at).alias("seq2"),
         ).filter(F.col("seq2") == F.col("seq") + step)
@@ -86,9 +88,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.withColumn("_ld_kept", F.when(F.size("_ld_gone") == 0, F.col("text")).otherwise(kept))
 
 
-def line_deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, drop_emptied: bool = True) -> DataFrame:
+def line_deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, drop_emptied: bool = True, whole: bool = False) -> DataFrame:
     """``docs`` with the kept lines as text; with ``drop_emptied``, texts that lost lines and have none left but blank ones go."""
-    rows = _without(docs, deleted_lines(docs, min_lines, min_chars))
+    rows = _without(docs, deleted_lines(docs, min_lines, min_chars, whole))
     if drop_emptied:
         rows = rows.filter((F.size("_ld_gone") == 0) | F.col("_ld_kept").rlike(r"[^ \n]"))
     new = {"text": F.col("_ld_kept")} | ({"n_chars": F.when(F.size("_ld_gone") == 0, F.col("n_chars")).otherwise(F.length("_ld_kept").cast("long"))} if "n_chars" in docs.columns else {})

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from tessera.llm import induced, line_dedup, quality_rules, suffix_dedup, tiling
 
 
@@ -45,6 +46,31 @@ def test_line_dedup_matches_brute_force(make):
         assert kept[k] == "\n".join(out)
 
 
+def runs_brute(docs, min_lines=3, min_chars=250):
+    """(doc, place) of the lines of all windows of 1, 2 or 3 lines that count and stand at an earlier place."""
+    first, gone = {}, set()
+    for k, t in enumerate(docs):
+        s = [x for x in t.split("\n") if x.strip(" ")]
+        for i in range(len(s)):
+            for d in range(1, min_lines + 1):
+                run = tuple(s[i : i + d])
+                if len(run) == d and (d == min_lines or sum(map(len, run)) >= min_chars) and first.setdefault(run, (k, i)) != (k, i):
+                    gone |= {(k, j) for j in range(i, i + d)}
+    return gone
+
+
+def test_line_dedup_deletes_whole_runs(make, spark):
+    long, run = "a" * 299, ["a" * 299, "b" * 105, "c" * 9]
+    rng = np.random.default_rng(5)
+    pool = [*run, "d" * 150, "e" * 120, "", "f", "g"]
+    docs = ["\n".join(run), "\n".join(["x", *run, "y"]), "\n".join([long, "z", "b" * 105])]
+    docs += ["\n".join(pool[j] for j in rng.integers(0, len(pool), int(rng.integers(0, 12)))) for _ in range(50)]
+    got = {(r["_ld_doc"], s) for r in line_dedup.deleted_lines(make(docs), whole=True).collect() for s in r["gone"]}
+    assert got == runs_brute(docs) and {s for k, s in got if k == 1} == {1, 2, 3} and {s for k, s in got if k == 2} == {0}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, make(docs), "").collect()}
+    assert 0 in kept and kept[1] == "x\ny" and kept[2] == "z\n" + "b" * 105
+
+
 def test_line_dedup_hard_rows(hard, empty):
     out = line_dedup.line_deduplicated(hard)
     assert out.columns == hard.columns
