@@ -1,12 +1,12 @@
 r"""MinHash near-deduplication by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five lower-cased words. The weight of a shingle in a text is tf * idf, with idf = log(1 + N / df) of
-the shingle's hash bucket (``BUCKETS`` of them): df counts all texts that have a shingle of the bucket, so the
-table is exact statistics of the whole corpus in a fixed size (0.5 MB), and a passage that many documents share
-weighs little however large the corpus is.
+Shingles are five lower-cased words. The weight of a shingle in a text is tf * idf, with idf = log(1 + N / df): N texts
+have words, and df of them have the shingle (by its 64-bit hash).
 
-1. One pass counts the buckets; a second draws ``BANDS * ROWS`` weighted samples of each text and folds them
-   into band keys. Texts with the same shingles are one node from here on (copies are members of its class).
+1. Texts are packed, a few MB of them in a pack, and the shingle hashes of a pack are dealt by range (see ``weighted``). A
+   range meets in one group, which counts df and sends each pack the upper halves of its hashes back with their df; no
+   table of shingles is broadcast or collected. Then ``BANDS * ROWS`` weighted samples of each text are drawn and folded into band keys.
+   Texts with the same shingles are one node from here on (copies are members of its class).
 2. Nodes meet in band buckets. A bucket is never paired in full: its leader, the node that meets most others in all its
    buckets (of edited copies, mostly the text that they come from), is compared with the others. Each pair is verified
    by the weighted Jaccard similarity of the whole texts, 0.8 or more.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,11 @@ from .tiling import Words
 
 WORDS, LIKE = 5, 0.8
 BUCKET_BITS = 17
-BUCKETS = 1 << BUCKET_BITS
+BUCKETS = 1 << BUCKET_BITS  # the test's brute force weighs by these; the operator does not
+PACK = 4  # chunks
+RANGE = 1 << 20  # shingles that a range of hashes has by estimate
+MARKS = 1 << 23
+WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"  # a text with a match has words
 BANDS, ROWS, BLOCK = 10, 3, 256
 DRAWS = 1 << 16
 U = np.uint64
@@ -89,27 +94,115 @@ def lowered(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
 
 
-def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """idf of each bucket over all texts that have words."""
+def coded(v: np.ndarray) -> bytes:
+    """Numbers above 0: a byte each, and those over 254 in four bytes more."""
+    over = v[v > 254].astype(np.uint32)
+    return np.minimum(v, 255).astype(np.uint8).tobytes() + over.tobytes()
+
+
+def decoded(b: pa.BinaryScalar, n: int) -> np.ndarray:
+    raw = np.frombuffer(b.as_buffer(), np.uint8)
+    v = raw[:n].astype(np.uint32)
+    v[v == 255] = np.frombuffer(raw[n:].tobytes(), np.uint32)
+    return v
+
+
+def groups(batches, names: list[str]):
+    """Tables of neighbouring rows that are equal in the columns ``names``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        keys = [b.column(x).to_numpy(zero_copy_only=False) for x in names]
+        cuts = (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist() if b.num_rows else []
+        for x, y in zip([0, *cuts], [*cuts, b.num_rows]):
+            if y > x:
+                key = tuple(int(k[x]) for k in keys)
+                if key != last and held:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = key
+                held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+PACKED = "range int, pack long, ids array<long>, k1 array<long>, k2 array<long>, n binary, h binary, tf binary"
+
+
+def packs(docs: DataFrame, ranges: int) -> DataFrame:
+    """For each pack and each range of hashes: the texts' numbers of shingles, these in order of text and hash, and
+    their counts. The row of range 0 names the texts with words and their contents."""
 
     def run(batches):
-        df, n = np.zeros(BUCKETS, np.int64), 0
+        part = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+
+        def flush():
+            nonlocal part
+            ids = pa.concat_arrays([x[0] for x in held])
+            h, count = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            n = np.concatenate([x[3] for x in held])
+            k1, k2 = content_key(h, count, np.concatenate([[0], np.cumsum(n)]))
+            names = [ids.to_pylist(), k1.tolist(), k2.tolist()]
+            text = np.repeat(np.arange(len(n)), n)
+            where = range_of(h, ranges)
+            order = np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[order], np.arange(ranges + 1))
+            rows = []
+            for r in range(ranges):
+                some = order[ends[r] : ends[r + 1]]
+                if r == 0 or len(some):
+                    many = np.bincount(text[some], minlength=len(n)).astype(np.uint32)
+                    rows.append((r, part, *(names if r == 0 else [None] * 3), many.tobytes(), h[some].tobytes(), coded(count[some])))
+            part += 1
+            held.clear()
+            types = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in PACKED.split(", ")])
+
         for b in batches:
-            for _, _, c in T.chunks(*T.buffers(b.column("text")), kind=Words):
-                doc, h, _, first = shingles(c)
-                if len(h):
-                    both = np.unique(doc * BUCKETS + bucket(h))
-                    df += np.bincount(both % BUCKETS, minlength=BUCKETS)
-                    n += int((np.diff(first) > 0).sum())
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["bucket", "df"])
-
-    sums = docs.select("text").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()  # BUCKETS + 1 rows at most
-    at, count = sums["bucket"].to_numpy(), sums["df"].to_numpy()
-    df = np.zeros(BUCKETS)
-    df[at[at >= 0]] = count[at >= 0]
-    n = int(count[at < 0].sum())
-    return np.log1p(n / np.maximum(df, 1)).astype(np.float32)
+            for a, _, c in T.chunks(*T.buffers(b.column("text")), kind=Words):
+                _, h, count, first = shingles(c)
+                n = np.diff(first)
+                full = np.flatnonzero(n > 0)
+                if len(full):
+                    held.append((b.column("doc_id").take(pa.array(a + full)), h, count, n[full]))
+                if len(held) == PACK:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, PACKED)
+
+
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+
+
+def with_frequency(rows: DataFrame) -> DataFrame:
+    """The rows of ``packs`` with df, the number of all texts that have the shingle, and of its hash the upper half."""
+
+    def run(batches):
+        for t in groups(batches, ["range"]):
+            hs = [np.frombuffer(x.as_buffer(), U) for x in t.column("h")]
+            own = [np.unique(h, return_counts=True) for h in hs]  # one entry a pack, however many of its texts have the shingle
+            every, place = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+            df = np.bincount(place, weights=np.concatenate([n for _, n in own]), minlength=len(every)).astype(np.int64)
+            for k, b in enumerate(b.slice(j, 1) for b in t.to_batches() for j in range(b.num_rows)):
+                own = {"h": (hs[k] >> U(32)).astype(np.uint32).tobytes(), "df": coded(df[np.searchsorted(every, hs[k])])}
+                names = [*b.schema.names, "df"]
+                yield pa.RecordBatch.from_arrays([pa.array([own[x]], pa.binary()) if x in own else b.column(x) for x in names], names=names)
+
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(run, PACKED + ", df binary")
+
+
+def weighted(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``packs`` with df, and the number of texts with words."""
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count_if(F.col("text").rlike(WORD))).first()
+    return with_frequency(packs(docs, int(size or 0) // (6 * RANGE) + 1)), n
+
+
+def inverse_frequency(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p(n / df).astype(np.float32)
 
 
 def content_key(h: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,31 +215,38 @@ def content_key(h: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np
     return out[0], out[1]
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, k1, k2, bands) of each text with words; k1 and k2 name its shingles."""
-    sent = docs.sparkSession.sparkContext.broadcast(idf)
+def signatures(rows: DataFrame, n_texts: int) -> DataFrame:
+    """(doc_id, k1, k2, bands, df) of each text with words and a doc_id; k1 and k2 name its shingles, df has the document
+    frequencies of these by order of hash, each as often as the shingle occurs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("df", pa.binary())])
 
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, log_idf, parts = b.column("doc_id"), np.log(sent.value), []
-        for a, _, c in T.chunks(*T.buffers(b.column("text")), kind=Words):
-            _, h, count, first = shingles(c)
-            full = np.flatnonzero(np.diff(first) > 0)
-            if not len(full):
-                continue
-            k1, k2 = content_key(h, count, first)
-            some = np.append(first[full], len(h))
-            s = samples(h, log_idf[bucket(h)] + np.log(count).astype(np.float32), some).reshape(len(full), BANDS, ROWS)
-            key = np.zeros((len(full), BANDS), U) + np.arange(BANDS).astype(U)
-            for r in range(ROWS):
-                key = T.mix(key * T.WORD_BASE + s[:, :, r])
-            parts.append((a + full, k1[full], k2[full], key.view(np.int64)))
-        if not parts:
-            return None
-        rows, k1, k2, key = (np.concatenate(x) for x in zip(*parts))
-        bands = pa.ListArray.from_arrays(np.arange(0, key.size + 1, BANDS, dtype=np.int32), pa.array(key.ravel()))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(k1), pa.array(k2), bands], names=["doc_id", "k1", "k2", "bands"])
-
-    return arrow_map(docs, kernel, "doc_id long, k1 long, k2 long, bands array<long>")
+    def run(batches):
+        for t in groups(batches, ["pack"]):
+            ids, k1, k2 = (next(x for x in t.column(c).to_pylist() if x is not None) for c in ("ids", "k1", "k2"))
+            n = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("n")]
+            order = np.argsort(np.concatenate([np.repeat(np.arange(len(ids)), x) for x in n]), kind="stable")
+            h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("h")])[order]
+            count, df = (np.concatenate([decoded(x, int(k.sum())) for x, k in zip(t.column(c), n)])[order] for c in ("tf", "df"))
+            first = np.concatenate([[0], np.cumsum(np.sum(n, axis=0, dtype=np.int64))])
+            log_w = np.log(inverse_frequency(n_texts, df)) + np.log(count).astype(np.float32)
+            a = 0
+            while a < len(ids):
+                z = max(a + 1, int(np.searchsorted(first, first[a] + (1 << 17), "right")) - 1)
+                cut, at = slice(first[a], first[z]), first[a : z + 1] - first[a]
+                s = samples(T.mix(h[cut].astype(U)), log_w[cut], at).reshape(z - a, BANDS, ROWS)
+                key = np.zeros((z - a, BANDS), U) + np.arange(BANDS).astype(U)
+                for r in range(ROWS):
+                    key = T.mix(key * T.WORD_BASE + s[:, :, r])
+                out = []
+                for j in range(a, z):
+                    if ids[j] is not None:
+                        own = slice(first[j], first[j + 1])
+                        out.append((ids[j], k1[j], k2[j], key[j - a].view(np.int64), coded(np.repeat(df[own], count[own]))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                a = z
+
+    return rows.repartition("pack").sortWithinPartitions("pack", "range").mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, df binary")
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -166,33 +266,42 @@ def vectors(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), kernel, "id long, vec binary")
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
-    """Of two sorted multisets of 32-bit shingles."""
-    v, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    w = idf[v >> np.uint32(32 - BUCKET_BITS)].astype(np.float64)
+def _vector(vec: pa.BinaryScalar, df: pa.BinaryScalar, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a text and their weights."""
+    v = np.frombuffer(vec.as_buffer(), np.uint32)
+    return v, inverse_frequency(n_texts, decoded(df, len(v))).astype(np.float64)
+
+
+def weighted_jaccard(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> float:
+    """Of two sorted multisets of 32-bit shingles and their weights."""
+    v, at, inverse = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+    w = np.concatenate([wa, wb])[at]
     x, y = np.bincount(inverse[: len(a)], minlength=len(v)), np.bincount(inverse[len(a) :], minlength=len(v))
     return float((np.minimum(x, y) * w).sum() / (np.maximum(x, y) * w).sum())
 
 
-def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, vecs: DataFrame, n_texts: int) -> DataFrame:
     """(a, b, s): the similarity of each pair."""
-    sent = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = [weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), sent.value) for x, y in zip(b.column("va"), b.column("vb"))]
+        s = []
+        for va, da, vb, db in zip(*(b.column(x) for x in ("va", "da", "vb", "db"))):
+            (x, wx), (y, wy) = _vector(va, da, n_texts), _vector(vb, db, n_texts)
+            s.append(weighted_jaccard(x, y, wx, wy))
         return pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s, pa.float64())], names=["a", "b", "s"])
 
-    one = vecs.groupBy("id").agg(F.first("vec").alias("vec"))
-    both = pairs.join(one.select(F.col("id").alias("b"), F.col("vec").alias("vb")).hint("merge"), "b").join(one.select(F.col("id").alias("a"), F.col("vec").alias("va")).hint("merge"), "a")
-    return arrow_map(both.select("a", "b", "va", "vb"), kernel, "a long, b long, s double")
+    one = vecs.groupBy("id").agg(F.first(F.struct("vec", "df")).alias("x"))
+    side = lambda c: one.select(F.col("id").alias(c), F.col("x.vec").alias(f"v{c}"), F.col("x.df").alias(f"d{c}")).hint("merge")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return arrow_map(both.select("a", "b", "va", "da", "vb", "db"), kernel, "a long, b long, s double")
 
 
 def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """(doc_id, class_id, node_id) for each row; class_id is the least doc_id of the class, node_id that of its exact copies."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     low = lowered(docs)
-    idf = inverse_frequency(low)
-    sig = stored(signatures(low.filter("doc_id IS NOT NULL"), idf), f"{folder}/signatures")
+    packed, n_texts = weighted(low)
+    sig = stored(signatures(packed, n_texts), f"{folder}/signatures")
     nodes = stored(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("node_id"), F.first("bands").alias("bands")), f"{folder}/nodes")
     keys = nodes.select(F.col("k1").alias("id"), "node_id", F.explode("bands").alias("bucket"))
     size = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{folder}/buckets")
@@ -202,16 +311,18 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     ranked = met.join(weight.select("id", "weight").hint("merge"), "id")
     leader = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "id"))["id"].alias("leader"))
     members = stored(met.select("bucket", "id").join(stored(leader, f"{folder}/leaders").hint("merge"), "bucket"), f"{folder}/members")
-    texts = low.join(weight.select(F.col("node_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    vecs = stored(vectors(texts), f"{folder}/vectors")
+    wanted = weight.select(F.col("id").alias("k1"), F.col("node_id").alias("doc_id"))
+    texts = _marked(low, wanted, "doc_id").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    dfs = sig.select("doc_id", "k1", "df").join(wanted.hint("merge"), ["k1", "doc_id"], "left_semi").groupBy(F.col("k1").alias("id")).agg(F.first("df").alias("df"))
+    vecs = stored(vectors(texts).join(dfs.hint("merge"), "id"), f"{folder}/vectors")
 
     pairs = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    compared = stored(verified(pairs, vecs, idf), f"{folder}/compared-0")
+    compared = stored(verified(pairs, vecs, n_texts), f"{folder}/compared-0")
     root = components(compared.filter(F.col("s") >= like), f"{folder}/star-0")
     d = members.join(compared.withColumnsRenamed({"a": "leader", "b": "id"}), ["leader", "id"], "left")
     d = d.select("bucket", "id", "leader", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", F.lit(0.0))).alias("d"))
     left = stored(_left(d, root, 1 - like), f"{folder}/left")
-    links = compared.filter(F.col("s") >= like).select("a", "b").unionByName(stored(_in_blocks(left, vecs, idf, like), f"{folder}/links"))
+    links = compared.filter(F.col("s") >= like).select("a", "b").unionByName(stored(_in_blocks(left, vecs, n_texts, like), f"{folder}/links"))
     root = components(links, f"{folder}/star-1")
 
     node = nodes.select("k1", "k2", "node_id").join(root.withColumnRenamed("id", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
@@ -221,6 +332,14 @@ def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
     return if_text.join(classed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("node_id", "doc_id").alias("node_id"))
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` less most of those whose key is not in ``wanted``, by a bitmap of ``MARKS`` bits; so that few long rows are moved."""
+    at = f"pmod(xxhash64({key}), {MARKS})"
+    word, bit = F.expr(f"{at} DIV 64").alias("word"), F.expr(f"shiftleft(1L, CAST({at} % 64 AS INT))")
+    bits = wanted.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # MARKS / 64 rows at most
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def _left(d: DataFrame, root: DataFrame, far: float) -> DataFrame:
     """(bucket, id, own, out): of the buckets with nodes outside their leader's component, these outsiders and the nodes
     inside that one of them could be linked to; own is a node's component."""
@@ -231,50 +350,41 @@ def _left(d: DataFrame, root: DataFrame, far: float) -> DataFrame:
     return keep.select("bucket", "id", "own", "out")
 
 
-def _in_blocks(left: DataFrame, vecs: DataFrame, idf: np.ndarray, like: float) -> DataFrame:
+def _in_blocks(left: DataFrame, vecs: DataFrame, n_texts: int, like: float) -> DataFrame:
     """(a, b) of the links between an outsider and any other node left in its bucket, if their components differ.
 
     Outsiders and nodes of a bucket are dealt into blocks of about ``BLOCK``; a block of outsiders meets a block of
     nodes in one group, whose similarities are a few matrix products. Rows are copied once for each block of the other
     side, so what a task holds is bounded and no pair but a link becomes a row."""
-    sent = left.sparkSession.sparkContext.broadcast(idf)
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     size = left.groupBy("bucket").agg(F.sum(F.col("out").cast("int")).alias("outs"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    one = vecs.groupBy("id").agg(F.first("vec").alias("vec"))
+    one = vecs.groupBy("id").agg(F.first(F.struct("vec", "df")).alias("x")).select("id", "x.vec", "x.df")
     rows = left.join(size, "bucket").join(one.hint("merge"), "id")
     mine = lambda n: F.pmod(F.xxhash64("id"), blocks(F.col(n)))
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(F.col(n)) - 1))
-    outs = rows.filter("out").select("bucket", mine("outs").cast("int").alias("i"), every("n").alias("j"), F.lit(True).alias("first"), "id", "own", "vec")
-    others = rows.select("bucket", every("outs").alias("i"), mine("n").cast("int").alias("j"), F.lit(False).alias("first"), "id", "own", "vec")
+    outs = rows.filter("out").select("bucket", mine("outs").cast("int").alias("i"), every("n").alias("j"), F.lit(True).alias("first"), "id", "own", "vec", "df")
+    others = rows.select("bucket", every("outs").alias("i"), mine("n").cast("int").alias("j"), F.lit(False).alias("first"), "id", "own", "vec", "df")
     met = outs.unionByName(others).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            keys = [b.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "i", "j")]
-            cuts = (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist() if b.num_rows else []
-            for x, y in zip([0, *cuts], [*cuts, b.num_rows]):
-                key = tuple(int(k[x]) for k in keys)
-                if key != last and held:
-                    yield _linked(pa.Table.from_batches(held), sent.value, like)
-                    held = []
-                last = key
-                held.append(b.slice(x, y - x))
-        if held:
-            yield _linked(pa.Table.from_batches(held), sent.value, like)
+        for t in groups(batches, ["bucket", "i", "j"]):
+            yield _linked(t, n_texts, like)
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _linked(t: pa.Table, idf: np.ndarray, like: float) -> pa.RecordBatch:
+def _linked(t: pa.Table, n_texts: int, like: float) -> pa.RecordBatch:
     """Links between the rows with and without ``first``, of different components."""
     first, ids, own = (t.column(x).to_numpy() for x in ("first", "id", "own"))
-    vec = [_numbered(np.frombuffer(v.as_buffer(), np.uint32)) for v in t.column("vec")]
+    both = [_vector(v, d, n_texts) for v, d in zip(t.column("vec"), t.column("df"))]
+    vec = [_numbered(v) for v, _ in both]
+    total = np.array([w.sum() for _, w in both])
     x, y = np.flatnonzero(first), np.flatnonzero(~first)
     common = np.intersect1d(np.concatenate([vec[k] for k in x]), np.concatenate([vec[k] for k in y])) if len(x) and len(y) else np.zeros(0, np.uint64)
-    weight = idf[(common >> U(64 - BUCKET_BITS)).astype(np.int64)].astype(np.float64)
-    total = np.array([idf[(v >> U(64 - BUCKET_BITS)).astype(np.int64)].astype(np.float64).sum() for v in vec])
+    weight = np.zeros(len(common))
+    for v, (_, w) in zip(vec, both):
+        inside = np.isin(v, common)
+        weight[np.searchsorted(common, v[inside])] = w[inside]
     both = np.zeros((len(x), len(y)))
     place = [np.searchsorted(common, v[np.isin(v, common)]) for v in vec]
     for c in range(0, len(common), 8192):

@@ -139,6 +139,46 @@ def test_near_classes_match_brute_force(make):
     assert sum(got[k] != want[k] for k in range(len(texts))) <= 1  # banding may miss a pair near 0.8 (p < 0.001)
 
 
+def true_similarity(texts, a, b):
+    """Weighted Jaccard similarity of two texts, by TF-IDF of their five-word shingles themselves."""
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    df = Counter(x for s in sets for x in s)
+    keys = set(sets[a]) | set(sets[b])
+    return sum(min(sets[a][k], sets[b][k]) * np.log1p(len(sets) / df[k]) for k in keys) / sum(max(sets[a][k], sets[b][k]) * np.log1p(len(sets) / df[k]) for k in keys)
+
+
+def test_near_classes_weigh_by_true_frequency(make):
+    """With over a million shingles a bucket's frequency is far above that of its shingles, and common passages looked alike."""
+    n = iter(range(10**9))
+    new = lambda k: [f"w{next(n)}" for _ in range(k)]
+    passage = new(2400)
+    texts = [" ".join(passage + new(66)) for _ in range(200)] + [" ".join(new(3000)) for _ in range(200)]
+    texts.append(" ".join(texts[399].split()[:2900] + new(20)))
+    assert true_similarity(texts, 0, 1) < 0.79 and true_similarity(texts, 399, 400) > 0.9
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(make(texts)).collect()}
+    assert got == {k: min(k, 399) for k in range(401)}
+
+
+def test_document_frequencies_are_exact(make):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcd"), int(rng.integers(0, 400)))) for _ in range(600)] + [None, "same text of exactly six"] * 300
+    low = pa.array([t or "" for t in texts], pa.large_string())
+    _, h, count, _ = near_dedup.shingles(near_dedup.Words(*T.buffers(low)))
+    h >>= np.uint64(32)  # as in the rows
+    want, n = Counter(h.tolist()), sum(bool(t) for t in texts)
+    rows, n_texts = near_dedup.weighted(near_dedup.lowered(make(texts)))
+    for rows in (rows, near_dedup.with_frequency(near_dedup.packs(near_dedup.lowered(make(texts)), 7))):
+        seen, tf = Counter(), 0
+        for r in rows.toArrow().to_pylist():
+            hs = np.frombuffer(r["h"], np.uint32)
+            df, many = (near_dedup.decoded(pa.scalar(r[c], pa.binary()), len(hs)).tolist() for c in ("df", "tf"))
+            assert [want[x] for x in hs.tolist()] == df
+            seen.update(hs.tolist())
+            tf += sum(many)
+        assert seen == want and tf == count.sum() and n_texts == n
+    assert max(want.values()) > 255
+
+
 def test_near_dedup_hard_rows(hard, empty):
     out = near_dedup.deduplicated(hard)
     ids = Counter(r["doc_id"] for r in out.collect())
