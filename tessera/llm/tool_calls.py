@@ -2,8 +2,8 @@ r"""Tool-call linking: calls and results joined by identifier, ordered, validate
 
 * ``calls`` (conv_id, turn, call_id, name, arguments JSON, refs array of call ids) and ``results`` (conv_id,
   turn, call_id, content) are joined by (conv_id, call_id), a shuffle join that Spark may split where one
-  conversation is hot. Of several results of a call the first by turn is linked and their number is told;
-  of several calls with one identifier each is linked.
+  conversation is hot. Every pair of a call and a result of its identifier is a row, and ``n_results`` tells how many
+  results the identifier has.
 * Order: a call comes after the calls that it refers to, and a result after its call. A call's level is its
   turn; only where a reference does not point to a lower turn, the calls on and behind it get new levels, layer by
   layer: a call all of whose references have levels gets the highest of them plus one, or its turn. Sorting by
@@ -13,7 +13,7 @@ r"""Tool-call linking: calls and results joined by identifier, ordered, validate
 * Canonical JSON: keys sorted by code point, no blanks, non-ASCII characters as they are.
 
 Cases: a call without result has status ``no_result``, a result without call ``no_call``; null identifiers link
-to nothing; malformed JSON is invalid with an error and is written as null; unknown tools are invalid; empty
+to nothing, so that each such result is a row with ``n_results`` 1; malformed JSON is invalid with an error and is written as null; unknown tools are invalid; empty
 tables give no rows; repeated rows are linked like any others; extra columns are ignored.
 """
 
@@ -131,12 +131,13 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """A row per call, and per result without call."""
+    """A row per call and result of one identifier, per call without result, and per result without call."""
     key = ["conv_id", "call_id"]
-    first = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    counts = results.groupBy(*key).agg(F.count(F.lit(1)).alias("n_results"))
     calls = calls.withColumn("level0", F.col("turn")).join(levels(calls), key, "left")
-    both = calls.join(first, key, "left").select(*key, "name", "turn", F.col("r.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), "level", "arguments", F.col("r.content").alias("content"), F.when(F.col("r").isNull(), "no_result").otherwise("linked").alias("status"))
-    alone = first.join(calls.select(*key).distinct(), key, "left_anti")
+    found = results.select(*key, F.struct("turn", "content").alias("r"))
+    both = calls.join(counts, key, "left").join(found, key, "left").select(*key, "name", "turn", F.col("r.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), "level", "arguments", F.col("r.content").alias("content"), F.when(F.col("r").isNull(), "no_result").otherwise("linked").alias("status"))
+    alone = found.join(calls.select(*key).distinct(), key, "left_anti").join(counts, key, "left").withColumn("n_results", F.coalesce("n_results", F.lit(1).cast("long")))
     alone = alone.select(*key, F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("turn"), F.col("r.turn").alias("result_turn"), "n_results", F.col("r.turn").alias("level"), F.lit(None).cast("string").alias("arguments"), F.col("r.content").alias("content"), F.lit("no_call").alias("status"))
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -67,6 +67,18 @@ def test_tool_calls(spark):
     assert tool_calls.linked(*tool_calls.turn_calls(messages.limit(0)), schema).count() == 0
 
 
+def test_tool_calls_keep_every_result(spark):
+    calls = spark.createDataFrame([(1, 0, "a", "f", "{}", []), (1, 1, "b", "f", "{}", []), (1, 2, None, "f", "{}", []), (1, 2, "a", "f", "{}", [])], "conv_id long, turn long, call_id string, name string, arguments string, refs array<string>")
+    rows = [(1, 3, "a", "x"), (1, 4, "a", "y"), (1, 4, "a", "y"), (1, 5, None, "p"), (1, 6, None, "q"), (1, 6, None, "q"), (1, 7, "z", "s"), (1, 8, "z", "t"), (None, 9, "a", "u"), (2, 3, "a", None)]
+    results = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, content string")
+    got = Counter((r["status"], r["conv_id"], r["call_id"], r["turn"], r["result_turn"], r["n_results"], json.loads(r["json"])["result"]) for r in tool_calls.linked(calls, results, {"f": {}}).collect())
+    want = [("linked", 1, "a", t, *x) for t in (0, 2) for x in ((3, 3, "x"), (4, 3, "y"), (4, 3, "y"))]
+    want += [("no_result", 1, "b", 1, None, 0, None), ("no_result", 1, None, 2, None, 0, None)]
+    want += [("no_call", 1, None, None, 5, 1, "p"), ("no_call", 1, None, None, 6, 1, "q"), ("no_call", 1, None, None, 6, 1, "q")]
+    want += [("no_call", 1, "z", None, 7, 2, "s"), ("no_call", 1, "z", None, 8, 2, "t"), ("no_call", None, "a", None, 9, 1, "u"), ("no_call", 2, "a", None, 3, 1, None)]
+    assert got == Counter(want)
+
+
 def reference():
     raw, pattern = bpe.public_ranks()
     enc = bpe.encoder(raw, pattern)
