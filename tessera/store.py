@@ -20,12 +20,14 @@ QUAD = ["s", "p", "o", "g"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``; without that setting (tests) under one of our own."""
+    """A new folder under the cluster's ``spark.checkpoint.dir``; without that setting under one of our own, on a local master only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = at.get() if at.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/quads-{uuid.uuid4().hex}"
