@@ -2,60 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import remove_dir, shared_dir, stored  # noqa: F401
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+SLICE = 4 << 20  # bytes of a batch that a kernel is given at a time
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors all see, under ``spark.checkpoint.dir``.
 
-    The setting is the cluster's; a folder of our own is set only where there is none (local tests).
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/tessera-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, text) with null texts as empty; one row for rows equal in both is left to the callers."""
+    return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
-def stored(df: DataFrame, folder: str) -> DataFrame:
-    """Write ``df`` as Parquet in a shared folder and read it back: lineage ends there and outlives executors."""
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most`` bytes, or one row that is longer: a batch of long texts is not copied as a whole."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
 
 
-def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, text) with null texts as empty; one row for rows equal in both is left to the callers."""
-    return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for the next stages, beside a growing JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
-def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``kernel`` to each Arrow batch of ``df`` on the executors."""
+def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = SLICE) -> DataFrame:
+    """Apply ``kernel`` to slices of the Arrow batches of ``df`` on the executors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, most):
             if b.num_rows and (out := kernel(b)) is not None:
                 yield out
+        release()
 
     return df.mapInArrow(run, schema)
 

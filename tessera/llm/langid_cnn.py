@@ -30,7 +30,7 @@ from .textnum import buffers, chunks
 
 WINDOW = 256
 FILTERS = {2: 16, 3: 16, 4: 16}
-PER_LANG, SPANS, MOST_LANGS = 400, 4, 200
+PER_LANG, SPANS = 400, 4
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 _letter = regex.compile(r"\p{L}").search
@@ -126,10 +126,10 @@ def training_sample(docs: DataFrame, trainable: Column, per_lang: int = PER_LANG
     """(language, passage) rows: up to ``per_lang`` documents of each language, ``SPANS`` passages of each.
 
     Counts over all rows set each language's sampling rate, so that few rows beyond the bound are shuffled.
-    At most ``MOST_LANGS`` languages are learned, the most frequent ones.
+    Every language that has an eligible row is learned.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & trainable)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
     place = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))

@@ -2,7 +2,7 @@ r"""Suffix-array dedup of byte strings of ``SPAN`` = 200 bytes by induced sortin
 
 Every byte that a 200-byte string covers which also starts anywhere else in the corpus is removed.
 
-1. *Anchors.* The anchor of a 200-byte window is the least hash of its 24-byte strings (the leftmost of equals), so equal
+1. *Anchors.* The anchor of a 200-byte window is the least hash of its 64-byte strings (the leftmost of equals), so equal
    windows have equal anchors wherever they stand. Neighbouring windows share an anchor; about one position in 69 is
    one. Anchor hashes that one text alone has, once, are dropped (a partial aggregate over all texts).
 2. *Shards.* For each remaining anchor of a text the bytes of its windows are one chunk. Distinct chunks of a batch are
@@ -38,11 +38,26 @@ from . import textnum as T
 from .common import arrow_map, shared_dir, stored, table
 from .induced import _hashes, _span, suffix_order
 
-SPAN, MER = 200, 24
+SPAN, MER = 200, 64
 HOT = 200_000  # texts with an anchor from which its windows are counted and not sorted
 SHARD = 10_000  # chunks of a shard on average; their number grows with the input
 MEMORY = 96 << 20  # bytes of a shard's text from which its arrays are files
 U = np.uint64
+FACTORS = np.random.default_rng(17).integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
+
+
+def mers(c: T.Chunk, mer: int) -> np.ndarray:
+    """Hash of the ``mer`` bytes (a multiple of 8) from each place on, out of blocks of 8, 16, 32 .. bytes."""
+    h, n, at, out = c.blocks[: len(c.data) - 7] * FACTORS[0], 8, 0, None
+    for k in range(1, 32):
+        if mer // 8 >> k - 1 & 1:
+            block = h[at : at + len(c.data) - mer + 1]
+            out = block.copy() if out is None else out * FACTORS[-k] + block
+            at += n
+        if at == mer:
+            return T.mix(out)
+        h = h[:-n] * FACTORS[k] + h[n:]
+        n *= 2
 
 
 def superwindows(c: T.Chunk, span: int = SPAN, mer: int = MER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,8 +66,7 @@ def superwindows(c: T.Chunk, span: int = SPAN, mer: int = MER) -> tuple[np.ndarr
     m, w = len(c.data) - mer + 1, span - mer + 1
     if m < w:
         return none
-    inv = T.powers(len(c.data) + 1)[1]
-    h = T.mix((c.prefix[mer:] - c.prefix[:-mer]) * inv[:m])
+    h = mers(c, mer)
     bits = U(max(21, int(m).bit_length()))
     key = (h >> bits << bits) | np.arange(m, dtype=U)
     x = np.concatenate([key, np.full(-m % w + w, ~U(0))]).reshape(-1, w)
@@ -76,11 +90,10 @@ def superwindows(c: T.Chunk, span: int = SPAN, mer: int = MER) -> tuple[np.ndarr
 
 
 def anchors(docs: DataFrame, spread: bool) -> DataFrame:
-    """``spread``: (h, lo, hi) with lo < hi where a text has the anchor twice, else the text's tag; otherwise distinct (h, rk)."""
+    """``spread``: (h, c1, again), whether a text has the anchor twice; otherwise distinct (h, rk)."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
         rk, parts = b.column("rk").to_numpy(zero_copy_only=False), []
-        tag = b.column("c1").to_numpy(zero_copy_only=False) >> 33
         for a, _, c in T.chunks(*T.buffers(b.column("text"))):
             _, _, h, doc = superwindows(c)
             order = np.lexsort((h, doc))
@@ -95,9 +108,9 @@ def anchors(docs: DataFrame, spread: bool) -> DataFrame:
         h, doc, again = (np.concatenate(x) for x in zip(*parts))
         if not spread:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(rk[doc])], names=["h", "rk"])
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array((2 * tag[doc]).astype(np.int64)), pa.array((2 * tag[doc] + again).astype(np.int64))], names=["h", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(h), b.column("c1").take(pa.array(doc)), pa.array(again)], names=["h", "c1", "again"])
 
-    return arrow_map(docs.select("rk", "c1", "text"), kernel, "h long, lo long, hi long" if spread else "h long, rk long")
+    return arrow_map(docs.select("rk", "c1", "text"), kernel, "h long, c1 long, again boolean" if spread else "h long, rk long")
 
 
 def chunks_of(texts: DataFrame, places: bool) -> DataFrame:
@@ -254,7 +267,7 @@ def byte_deduplicated(docs: DataFrame, whole: bool = False, hot: int = HOT) -> D
     heads = rows.select("doc_id", "rk", "c1", F.xxhash64(F.lit("text"), "text").alias("c2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     heads = stored(heads, f"{folder}/heads")
     contents = stored(heads.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min("rk").alias("rk")), f"{folder}/contents")
-    shared = anchors(rows, True).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.count(F.lit(1)) > hot).alias("hot")).filter("lo < hi").select("h", "hot")
+    shared = anchors(rows, True).groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("again").alias("again"), (F.count(F.lit(1)) > hot).alias("hot")).filter("lo < hi OR again").select("h", "hot")
     shared = stored(shared, f"{folder}/anchors")
     mine = lambda c: F.collect_set(F.when(c, F.col("h")))
     found = anchors(rows, False).join(shared, "h").groupBy("rk").agg(mine(~F.col("hot")).alias("hs"), mine(F.col("hot")).alias("hot"))

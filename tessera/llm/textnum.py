@@ -1,8 +1,9 @@
-"""Whole-batch text arithmetic in numpy: words, lines and polynomial hashes straight from Arrow's byte buffers.
+"""Whole-batch text arithmetic in numpy: words, lines and their hashes straight from Arrow's byte buffers.
 
 A chunk is a run of whole texts of about ``CHUNK`` bytes (one text alone if it is longer), so memory is
-bounded by the longest text; nothing is cut. Hashes are 64-bit sums ``T[byte] * B**i`` modulo 2**64 over a
-random byte table, taken from prefix sums, so that the hash of any span costs one subtraction and one product.
+bounded by the longest text; nothing is cut. The hash of a span is the sum, over its blocks of eight bytes, of a mixed
+function of block and place. Unlike a polynomial modulo 2**64, it has no strings of its own that collide
+(Thue-Morse words); two given spans that differ have equal hashes with a chance of about 2**-64.
 """
 
 from __future__ import annotations
@@ -17,25 +18,11 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 U = np.uint64
-_rng = np.random.default_rng(20240607)
-BYTE_HASH = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
 WORD_BASE = U(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK + 1024)
-        for k, base in enumerate((BASE, BASE_INV)):
-            p = np.full(n, base, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+PLACE, SIZE = U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F)
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the first k bytes of a block
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,6 +32,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def parts(weight: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose weights add up to about ``most`` (one alone if it has more)."""
+    total, a = np.cumsum(weight), 0
+    while a < len(weight):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - weight[a] + most, "right")))
+        yield a, b
+        a = b
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls count as empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -78,18 +74,27 @@ class Chunk:
     separator = SPACE  # of words; another kind of chunk may have another
 
     @cached_property
-    def prefix(self) -> np.ndarray:
-        """Prefix sums of the byte hash."""
-        n = len(self.data)
-        p = np.empty(n + 1, U)
-        p[0] = 0
-        np.cumsum(BYTE_HASH[self.data] * powers(n + 1)[0][:n], out=p[1:])
-        return p
+    def blocks(self) -> np.ndarray:
+        """The eight bytes from each place on, as one number; zeros follow the last byte."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        return np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes [start, end); the length is part of it."""
-        inv = powers(len(self.data) + 1)[1]
-        return mix((self.prefix[end] - self.prefix[start]) * inv[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+        size = end - start
+        h = mix(self.blocks[start] & LOW[np.minimum(size, 8)])
+        for a, b in parts((size + 7) >> 3):  # what is left of longer spans, so many blocks at a time
+            long = a + np.flatnonzero(size[a:b] > 8)
+            if not len(long):
+                continue
+            n = (size[long] - 1) >> 3
+            first = np.cumsum(n) - n
+            which = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(which)) - first[which] + 1
+            block = self.blocks[start[long][which] + 8 * k] & LOW[np.minimum(size[long][which] - 8 * k, 8)]
+            h[long] += np.add.reduceat(mix(mix(block) + k.astype(U) * PLACE), first)
+        return mix(h + size.astype(U) * SIZE)
 
     @cached_property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 r"""Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased and cut into words (letters, digits and all non-ASCII characters). A seed is a run of
+Texts are lower-cased and cut into words (runs of letters, digits and marks; in scripts written without spaces each character
+is a word). A seed is a run of
 ``MIN_MATCH`` words that a document and a benchmark item share; seeds are found by joining rolling hashes.
 For each (document, item) with a seed the tiling runs: the shared seeds, found by Karp-Rabin hashes of
 ``MIN_MATCH`` words, are grown along their diagonals to maximal matches, and again and again the longest match
@@ -19,9 +20,11 @@ items are each reported; equal matches are marked from the left of the document;
 from __future__ import annotations
 
 import heapq
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +34,58 @@ from .common import arrow_map, shared_dir, stored, table
 MIN_MATCH = 5
 COVERAGE = 0.5
 MOST_SEEDS = 1_000_000
-SEPARATOR = np.ones(256, bool)
-SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, n_matched long, n_item_words long"
 
 
-class Words(T.Chunk):
-    """A chunk whose words are runs of letters and digits."""
+KIND = np.zeros(256, np.uint8)  # of a byte: 0 between words, 1 in a word
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+SIZE = np.zeros(256, np.int64)  # of the character that a byte beyond ASCII leads
+SIZE[0xC0:0xE0], SIZE[0xE0:0xF0], SIZE[0xF0:] = 2, 3, 4
+SPACELESS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+
+
+@cache
+def kinds() -> np.ndarray:
+    """Of each code point: 0 between words, 1 in a word (letters, digits, marks), 2 a word of its own (scripts without spaces)."""
+    out = np.zeros(0x110000, np.uint8)
+    for a in (0, 0x10000, 0x20000, 0x30000):  # the planes that have letters
+        text = "".join(chr(c) for c in range(a, a + 0x10000) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((1, r"[\p{L}\p{N}\p{M}]"), (2, SPACELESS)):
+            out[[ord(c) for c in regex.findall(pattern, text)]] = kind
+    return out
 
-    separator = SEPARATOR
+
+class Words(T.Chunk):
+    """A chunk whose words are runs of letters, digits and marks, or single characters of scripts written without spaces."""
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, n = self.data, len(self.data)
+        kind = np.zeros(n + 1, np.uint8)
+        kind[:n] = KIND[data]
+        edge = np.zeros(n + 1, bool)
+        edge[self.off] = True
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            size = SIZE[data[lead]]
+            point = data[lead] & (0xFF >> (size + 1)).astype(np.uint8)
+            point = point.astype(np.int64)
+            for k in (1, 2, 3):
+                more = size > k
+                point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+            what = kinds()[np.minimum(point, 0x10FFFF)]
+            for k in range(4):
+                other = (what != 1) & (size > k)
+                kind[lead[other] + k] = what[other]
+            own = what == 2
+            edge[lead[own]] = True
+            edge[(lead + size)[own]] = True
+        inside = kind > 0
+        before = np.zeros(n + 1, bool)
+        before[1:] = inside[:-1]
+        start = np.flatnonzero(inside & (~before | edge))
+        end = np.flatnonzero(before & (~inside | edge))
+        return start, end, np.searchsorted(start, self.off)
 
 
 def tile(doc: np.ndarray, item: np.ndarray, d: np.ndarray, i: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
