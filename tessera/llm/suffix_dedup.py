@@ -1,16 +1,20 @@
-r"""Suffix-array dedup of byte strings of ``SPAN`` = 200 bytes by induced sorting in shards.
+r"""Suffix-array dedup of byte strings of ``SPAN`` = 200 bytes by external induced sorting in shards.
 
 Every byte that a 200-byte string covers which also starts anywhere else in the corpus is removed.
 
 1. *Anchors.* The anchor of a 200-byte window is the least hash of its 64-byte strings (the leftmost of equals), so equal
-   windows have equal anchors wherever they stand. Neighbouring windows share an anchor; about one position in 69 is
+   windows have equal anchors at equal places in them. Neighbouring windows share an anchor; about one position in 60 is
    one. Anchor hashes that one text alone has, once, are dropped (a partial aggregate over all texts).
-2. *Shards.* For each remaining anchor of a text the bytes of its windows are one chunk. Distinct chunks of a batch are
-   shuffled by anchor, so that equal windows meet in one task; where they came from stays behind.
-3. *Induced sorting.* A task sorts the suffixes of its distinct chunks with ``induced.suffix_order``, whose queues,
-   and beyond ``MEMORY`` bytes text and hash sums too, are files in the task's own folder, deleted at its end. Windows next to each
-   other in suffix order whose common prefix is 200 bytes or more (compared by hash sums) are repeated.
-4. The repeated intervals of the chunks join the chunks' places (Spark may split a hot one) and then their texts,
+2. *Hot anchors.* An anchor of more than ``HOT`` texts is split by longer context: its windows go into groups of 16 neighbouring
+   offsets, named by the 185 bytes that all windows of the group have, and a group that is hot again into single windows. Names that
+   one text alone has, once, are dropped as before. So however many texts share a passage, no shard grows with them.
+3. *Shards.* For each name left in a text the bytes of its windows are one chunk. Distinct chunks of a batch are
+   shuffled by name, so that equal windows meet in one task; where they came from stays behind.
+4. *Induced sorting.* A task reads its distinct chunks as strings of 8-byte words, counted from the anchor (equal windows lie on
+   equal word borders), and sorts their suffixes with ``induced.suffixes``, which gives the common prefixes too. Chunks, words,
+   symbols and flags are files of the task's own folder beyond ``MEMORY`` bytes each, deleted at its end; some 50 bytes a
+   chunk stay in memory. Places that share 24 words make an interval; of these, windows are equal whose 8 bytes beside the 24 words are.
+5. The repeated intervals of the chunks join the chunks' places (Spark may split a hot one) and then their texts,
    which are cut.
 
 Exact copies are found before all that by a 128-bit hash of the text: with 200 bytes or more they are removed
@@ -18,14 +22,11 @@ whole, and one of each stands for the others in the shards. Texts are shuffled o
 
 Cases: null texts are empty; texts under 200 bytes lose nothing; each row is a document of its own, so repeated
 rows are removed whole; a null doc_id is like any other; extra columns are ignored; the empty table gives no rows.
-An anchor of more than ``HOT`` texts would make a shard of unbounded size; its windows are counted one by one
-instead, by a hash of the window and with partial aggregates, which gives the same bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import shutil
 import tempfile
 
@@ -35,13 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import arrow_map, shared_dir, stored, table
-from .induced import _hashes, _span, suffix_order
-
-SPAN, MER = 200, 64
-HOT = 200_000  # texts with an anchor from which its windows are counted and not sorted
-SHARD = 10_000  # chunks of a shard on average; their number grows with the input
-MEMORY = 96 << 20  # bytes of a shard's text from which its arrays are files
+from .common import arrow_map, release, shared_dir, slices, stored, table
+from .induced import Picked, Scratch, suffixes
+
+SPAN, MER, WORD = 200, 64, 8
+HOT = 2_000  # texts with a name from which its windows are named by longer context
+WIDTHS = (0, 16, 1)  # offsets of a group: all of an anchor, then fewer
+SHARD = 60_000  # chunks of a shard on average, equal ones included; the number of shards grows with the input
+MEMORY = 64 << 20
 U = np.uint64
 FACTORS = np.random.default_rng(17).integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 
@@ -60,9 +62,9 @@ def mers(c: T.Chunk, mer: int) -> np.ndarray:
         n *= 2
 
 
-def superwindows(c: T.Chunk, span: int = SPAN, mer: int = MER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, hash, text): runs of windows that share an anchor, as window starts, with the anchor's hash."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+def superwindows(c: T.Chunk, span: int = SPAN, mer: int = MER) -> tuple[np.ndarray, ...]:
+    """(first, last, name, text, anchor): runs of windows that share an anchor, as window starts, named by the anchor's hash."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     m, w = len(c.data) - mer + 1, span - mer + 1
     if m < w:
         return none
@@ -86,150 +88,238 @@ def superwindows(c: T.Chunk, span: int = SPAN, mer: int = MER) -> tuple[np.ndarr
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return at[first], at[last], h[place[first]], np.searchsorted(c.off, at[first], "right") - 1
+    return at[first], at[last], h[place[first]], np.searchsorted(c.off, at[first], "right") - 1, place[first]
+
+
+def refined(c: T.Chunk, runs: tuple[np.ndarray, ...], width: int, span: int = SPAN) -> tuple[np.ndarray, ...]:
+    """The runs cut into groups of ``width`` offsets from the anchor, named by what all windows of the group have."""
+    first, last, h, doc, anchor = runs
+    low, high = (anchor - last) // width, (anchor - first) // width
+    n = high - low + 1
+    of = np.repeat(np.arange(len(n)), n)
+    group = high[of] - (np.arange(len(of)) - (np.cumsum(n) - n)[of])
+    start, end = anchor[of] - group * width - (width - 1), anchor[of] - group * width  # of all the group's windows
+    name = T.mix(c.spans(end, start + span) + T.mix(h[of] + group.astype(U)))
+    return np.maximum(start, first[of]), np.minimum(end, last[of]), name, doc[of], anchor[of]
 
 
-def anchors(docs: DataFrame, spread: bool) -> DataFrame:
-    """``spread``: (h, c1, again), whether a text has the anchor twice; otherwise distinct (h, rk)."""
+def _among(h: np.ndarray, doc: np.ndarray, sets: pa.ListArray) -> np.ndarray:
+    """Whether a name is in its text's set."""
+    flat, owner = sets.flatten().to_numpy(zero_copy_only=False).view(U), np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
+    return np.isin(T.mix(h ^ T.mix(doc.astype(U))), T.mix(flat ^ T.mix(owner.astype(U))))
+
+
+def names(docs: DataFrame, level: int) -> DataFrame:
+    """(h, rk, c1, again): the names of each text, and whether it has one twice; beyond level 0 only of windows under the texts' hot names."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        rk, parts = b.column("rk").to_numpy(zero_copy_only=False), []
-        for a, _, c in T.chunks(*T.buffers(b.column("text"))):
-            _, _, h, doc = superwindows(c)
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
+        out = []
+        for a, z, c in T.chunks(*T.buffers(b.column("text"))):
+            runs = superwindows(c)
+            for k in range(level):
+                hot = _among(runs[2], runs[3], b.column(f"hot{k}").slice(a, z - a))
+                runs = refined(c, tuple(x[hot] for x in runs), WIDTHS[k + 1])
+            h, doc = runs[2], runs[3]
             if not len(h):
                 continue
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
-            again = np.diff(np.append(new, len(h))) > 1
-            parts.append((h[new].view(np.int64), a + doc[new], again))
-        if not parts:
+            out.append((h[new].view(np.int64), a + doc[new], np.diff(np.append(new, len(h))) > 1))
+        if not out:
             return None
-        h, doc, again = (np.concatenate(x) for x in zip(*parts))
-        if not spread:
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(rk[doc])], names=["h", "rk"])
-        return pa.RecordBatch.from_arrays([pa.array(h), b.column("c1").take(pa.array(doc)), pa.array(again)], names=["h", "c1", "again"])
+        h, doc, again = (np.concatenate(x) for x in zip(*out))
+        own = pa.array(doc)
+        return pa.RecordBatch.from_arrays([pa.array(h), b.column("rk").take(own), b.column("c1").take(own), pa.array(again)], names=["h", "rk", "c1", "again"])
+
+    return arrow_map(docs.select("rk", "c1", "text", *(f"hot{k}" for k in range(level))), kernel, "h long, rk long, c1 long, again boolean")
+
 
-    return arrow_map(docs.select("rk", "c1", "text"), kernel, "h long, c1 long, again boolean" if spread else "h long, rk long")
+def _chosen(c: T.Chunk, b: pa.RecordBatch, a: int, z: int, levels: int) -> tuple[np.ndarray, ...]:
+    """The runs of windows that the names of the texts stand for, of all levels."""
+    runs, out = superwindows(c), []
+    for k in range(levels):
+        take = _among(runs[2], runs[3], b.column(f"take{k}").slice(a, z - a))
+        out.append(tuple(x[take] for x in runs))
+        if k + 1 < levels:
+            hot = _among(runs[2], runs[3], b.column(f"hot{k}").slice(a, z - a))
+            runs = refined(c, tuple(x[hot] for x in runs), WIDTHS[k + 1])
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def chunks_of(texts: DataFrame, places: bool) -> DataFrame:
-    """The chunks of the texts' anchors ``hs``: distinct (h, v, n, chunk) of a batch, n times each, or with ``places`` all (h, v, rk, at)."""
+def chunks_of(texts: DataFrame, levels: int, places: bool) -> DataFrame:
+    """The chunks of the texts' names: distinct (h, v, n, lead, chunk) of a batch, n times each, or with ``places`` all (h, v, rk, at)."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
         rk, parts, blobs = b.column("rk").to_numpy(zero_copy_only=False), [], []
         for a, z, c in T.chunks(*T.buffers(b.column("text"))):
-            first, last, h, doc = _wanted(c, b.column("hs").slice(a, z - a))
+            first, last, h, doc, anchor = _chosen(c, b, a, z, levels)
             if not len(h):
                 continue
-            v = c.spans(first, last + SPAN)
-            parts.append((h.view(np.int64), v.view(np.int64), rk[a + doc], first - c.off[doc]))
-            if not places:
-                raw = c.data.tobytes()
-                blobs += [raw[x:y] for x, y in zip(first.tolist(), (last + SPAN).tolist())]
+            lead = (first - anchor) % WORD
+            v = c.spans(first, last + SPAN) + lead.astype(U)
+            if places:
+                parts.append((h.view(np.int64), v.view(np.int64), rk[a + doc], first - c.off[doc]))
+                continue
+            order = np.lexsort((v, h))
+            h, v = h[order], v[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (v[1:] != v[:-1])]))
+            one = order[new]
+            parts.append((h[new].view(np.int64), v[new].view(np.int64), np.diff(np.append(new, len(order))), lead[one]))
+            raw = c.data.tobytes()
+            blobs += [raw[x:y] for x, y in zip(first[one].tolist(), (last[one] + SPAN).tolist())]
         if not parts:
             return None
-        h, v, rk_, at = (np.concatenate(x) for x in zip(*parts))
+        cols = [np.concatenate(x) for x in zip(*parts)]
         if places:
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(v), pa.array(rk_), pa.array(at)], names=["h", "v", "rk", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "v", "rk", "at"])
+        h, v, n, lead = cols
         order = np.lexsort((v, h))
         new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (v[order][1:] != v[order][:-1])]))
-        some, n = order[new], np.diff(np.append(new, len(order)))
-        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(v[some]), pa.array(n), pa.array([blobs[k] for k in some.tolist()], pa.binary())], names=["h", "v", "n", "chunk"])
-
-    return arrow_map(texts.select("rk", "text", "hs"), kernel, "h long, v long, rk long, at long" if places else "h long, v long, n long, chunk binary")
-
-
-def windows_of(texts: DataFrame) -> DataFrame:
-    """(h, w, rk, at): every window of the texts' anchors ``hot``, by anchor hash and window hash."""
-
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        rk, parts = b.column("rk").to_numpy(zero_copy_only=False), []
-        for a, z, c in T.chunks(*T.buffers(b.column("text"))):
-            first, last, h, doc = _wanted(c, b.column("hot").slice(a, z - a))
-            n = last - first + 1
-            if len(n):
-                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                d = np.repeat(doc, n)
-                parts.append((np.repeat(h, n).view(np.int64), c.spans(at, at + SPAN).view(np.int64), rk[a + d], at - c.off[d]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["h", "w", "rk", "at"]) if parts else None
-
-    return arrow_map(texts.select("rk", "text", "hot"), kernel, "h long, w long, rk long, at long")
-
-
-def _wanted(c: T.Chunk, sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The superwindows of a chunk whose anchor is in its text's set."""
-    first, last, h, doc = superwindows(c)
-    flat, owner = sets.flatten().to_numpy(zero_copy_only=False).view(U), np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
-    keep = np.isin(T.mix(h ^ T.mix(doc.astype(U))), T.mix(flat ^ T.mix(owner.astype(U))))
-    return first[keep], last[keep], h[keep], doc[keep]
-
-
-def _array(n: int, dtype, folder: str, name: str) -> np.ndarray:
-    """In memory, or a file of the task beyond ``MEMORY``."""
-    return np.zeros(n, dtype) if n * np.dtype(dtype).itemsize < MEMORY else np.memmap(os.path.join(folder, name), dtype, "w+", shape=(n,))
-
-
-def repeated_windows(blobs: list[bytes], folder: str, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(flags, offsets): of the concatenated blobs (a separator after each), the places where a window starts that stands elsewhere too."""
-    size = np.array([len(x) for x in blobs])
-    off = np.concatenate([[0], np.cumsum(size + 1)])
-    s = _array(int(off[-1]) + 1, np.uint16, folder, "text.bin")
-    for a in range(0, len(blobs), 4096):
-        part = np.frombuffer(b"\0".join(blobs[a : a + 4096]) + b"\0", np.uint8)
-        s[off[a] : off[a] + len(part)] = part
-        s[off[a] : off[a] + len(part)] += 2
-    s[off[1:] - 1] = 1  # separators
-    start = _array(len(s), bool, folder, "starts.bin")
-    edge = np.zeros(len(s) + 1, np.int8)
-    long = np.flatnonzero(size >= span)
-    np.add.at(edge, off[long], 1)
-    np.add.at(edge, off[long] + size[long] - span + 1, -1)
-    start[:] = np.cumsum(edge[:-1], dtype=np.int8) > 0
-    sums = _hashes(s)
-    flags, before, last = np.zeros(len(s), bool), None, None
-    for a in suffix_order(s, 258, folder, start):
-        if not len(a):
-            continue
-        code = _span(sums, a, a + span)
-        same = code[1:] == code[:-1]
-        flags[a[1:][same]] = True
-        flags[a[:-1][same]] = True
-        if before is not None and before == code[0]:
-            flags[[last, a[0]]] = True
-        before, last = code[-1], a[-1]
-    return flags, off
-
-
-def sort_shard(batches) -> "list[pa.RecordBatch]":
+        some = order[new]
+        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(v[some]), pa.array(np.add.reduceat(n[order], new)), pa.array(lead[some]), pa.array([blobs[k] for k in some.tolist()], pa.binary())], names=["h", "v", "n", "lead", "chunk"])
+
+    sets = [f"{x}{k}" for k in range(levels) for x in ("take", "hot")]
+    return arrow_map(texts.select("rk", "text", *sets), kernel, "h long, v long, rk long, at long" if places else "h long, v long, n long, lead long, chunk binary", 32 << 20)
+
+
+def symbols_of(words: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, int]:
+    """Words as symbols from 2 on, and how many symbols there are; ranges of mixed words in turn, as many as memory asks for."""
+    out = scratch.array(len(words) + 1, np.int32)
+    ranges, n, block = 1 + words.nbytes * 4 // scratch.memory, 2, scratch.step * 4
+    for r in range(ranges):
+        found, where = [], []
+        for a in range(0, len(words), block):
+            x = T.mix(np.asarray(words[a : a + block]))
+            own = np.flatnonzero(((x >> U(32)) * U(ranges) >> U(32)) == U(r)) if ranges > 1 else np.arange(len(x))
+            found.append(x[own])
+            where.append(a + own)
+        every, place = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0), np.zeros(0, int))
+        out[np.concatenate(where) if where else np.zeros(0, int)] = place + n
+        n += len(every)
+    return out, n
+
+
+def _bytes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; ``data`` is padded."""
+    return np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))[at]
+
+
+def repeated_windows(data: np.ndarray, off: np.ndarray, size: np.ndarray, lead: np.ndarray, scratch: Scratch, span: int = SPAN) -> np.ndarray:
+    """Flags over the bytes of chunks: where a window starts that stands elsewhere too. Chunk k has ``size[k]`` bytes from ``data[off[k]]`` on,
+    and its first byte lies ``lead[k]`` bytes behind a word border; ``data`` has 8 bytes to spare."""
+    flags = scratch.array(len(data), bool)
+    skip = -lead % WORD  # bytes before the chunk's first whole word
+    n_words = np.maximum(size - skip, 0) // WORD
+    cut = np.concatenate([[0], np.cumsum(n_words + 1)])  # each chunk's words and a separator
+    total, need = int(cut[-1]), span // WORD - 1
+    if not total:
+        return flags
+    text_words = scratch.array(total, np.uint64)
+    is_end = scratch.array(total + 1, bool)
+    step = scratch.step
+    for a, z in T.parts(n_words + 1, step):
+        of = np.repeat(np.arange(a, z), n_words[a:z] + 1)
+        k = np.arange(cut[a], cut[z]) - cut[of]
+        end = k == n_words[of]
+        text_words[cut[a] : cut[z]] = np.where(end, U(0), _bytes_at(data, np.where(end, 0, off[of] + skip[of] + k * WORD)))
+        is_end[cut[a] : cut[z]] = end
+    s, n_symbols = symbols_of(text_words, scratch)
+    for a in range(0, total, step):
+        part = s[a : a + step][: total - a]
+        part[is_end[a : a + len(part)]] = 1
+    s[total] = 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = [0]
+
+    def settle(q: np.ndarray, g: np.ndarray) -> None:
+        """Whole intervals ``g`` of word places ``q``."""
+        many = np.bincount(g - g[0])[g - g[0]] > 1
+        q, g = q[many], g[many]
+        if not len(q):
+            return
+        of = np.searchsorted(cut, q, "right") - 1
+        byte = off[of] + skip[of] + (q - cut[of]) * WORD
+        keys = []
+        for left in range(WORD):
+            p = byte - left
+            ok = np.flatnonzero((p >= off[of]) & (p + span <= off[of] + size[of]))
+            low = U((1 << 8 * left) - 1)
+            extra = (_bytes_at(data, p[ok]) & low) | (_bytes_at(data, p[ok] + left + need * WORD) << U(8 * left) if left else _bytes_at(data, p[ok] + need * WORD))
+            keys.append((p[ok], g[ok] * WORD + left, extra))
+        p, g, extra = (np.concatenate(x) for x in zip(*keys))
+        order = np.lexsort((extra, g))
+        p, g, extra = p[order], g[order], extra[order]
+        same = (g[1:] == g[:-1]) & (extra[1:] == extra[:-1])
+        flags[p[1:][same]] = True
+        flags[p[:-1][same]] = True
+
+    def interval(q: np.ndarray, same: np.ndarray) -> None:
+        g = last[0] + np.cumsum(same < need)
+        last[0] = int(g[-1])
+        cut_at = int(np.searchsorted(g, g[-1]))  # the last interval may go on
+        if cut_at:
+            held.append((q[:cut_at], g[:cut_at]))
+            settle(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+        held.append((q[cut_at:], g[cut_at:]))
+
+    picked = Picked(interval)
+
+    def sorted_(q: np.ndarray, same: np.ndarray) -> None:
+        of = np.minimum(np.searchsorted(cut, q, "right") - 1, len(size) - 1)
+        picked(q, same, q + need <= cut[of] + n_words[of])
+
+    suffixes(s, n_symbols, scratch, sorted_)
+    if held:
+        settle(*(np.concatenate(x) for x in zip(*held)))
+    return flags
+
+
+def sort_shard(batches):
     """One task's chunks in, (h, v, start, end) of their repeated bytes out."""
-    cols: list[list] = [[], [], []]
-    texts: list[pa.Array] = []
-    for b in batches:
-        for k, name in enumerate(("h", "v", "n")):
-            cols[k].append(b.column(name).to_numpy(zero_copy_only=False))
-        texts.append(b.column("chunk"))
-    if not cols[0]:
-        return
-    h, v, n = (np.concatenate(x) for x in cols)
-    order = np.lexsort((v, h))
-    new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (v[order][1:] != v[order][:-1])]))
-    count = np.add.reduceat(n[order], new)
-    one = order[new]
-    blobs = pa.chunked_array(texts).take(pa.array(one)).to_pylist()
-    del texts
     folder = tempfile.mkdtemp(prefix="shard-")
     try:
-        flags, off = repeated_windows(blobs, folder)
+        yield from _sorted_shard(batches, Scratch(folder, MEMORY))
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    size = np.diff(off) - 1
+        release()
+
+
+def _sorted_shard(batches, scratch: Scratch):
+    cols: list[list[np.ndarray]] = [[], [], [], [], []]
+    total = 0
+    with open(scratch.path(), "w+b") as file:
+        for b in slices(batches):
+            for k, name in enumerate(("h", "v", "n", "lead")):
+                cols[k].append(b.column(name).to_numpy(zero_copy_only=False))
+            data, off = T.buffers(b.column("chunk"))
+            file.write(data.data)
+            cols[4].append(total + off[:-1])
+            total += len(data)
+        if not cols[0]:
+            return
+        file.write(bytes(WORD))
+    data = np.memmap(file.name, np.uint8, "r") if total > scratch.memory else np.fromfile(file.name, np.uint8)
+    h, v, n, lead, off = (np.concatenate(x) for x in cols)
+    size = np.append(off[1:], total) - off
+    order = np.lexsort((v, h))
+    new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (v[order][1:] != v[order][:-1])]))
+    count = np.add.reduceat(n[order], new)
+    one = order[new]  # of equal chunks one
+    by_place = np.argsort(one)
+    one, count = one[by_place], count[by_place]
+    h, v, lead, off, size = (x[one] for x in (h, v, lead, off, size))
+    flags = repeated_windows(data, off, size, lead, scratch)
     for k in np.flatnonzero(count > 1):
         flags[off[k] : off[k] + size[k] - SPAN + 1] = True
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8)]), append=0))
-    a, z = edge[::2], edge[1::2]  # runs of window starts, none across a separator
-    owner = np.searchsorted(off, a, "right") - 1
-    yield pa.RecordBatch.from_arrays([pa.array(h[one][owner]), pa.array(v[one][owner]), pa.array(a - off[owner]), pa.array(z - 1 + SPAN - off[owner])], names=["h", "v", "start", "end"])
+    for a, z in T.parts(size, 4 << 20):
+        part = np.asarray(flags[off[a] : off[z - 1] + size[z - 1] + 1]).view(np.int8)
+        edge = np.flatnonzero(np.diff(part, prepend=0, append=0)) + off[a]
+        start, end = edge[::2], edge[1::2]  # runs of window starts, none beyond a chunk
+        if len(start):
+            owner = np.searchsorted(off, start, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[owner]), pa.array(v[owner]), pa.array(start - off[owner]), pa.array(end - 1 + SPAN - off[owner])], names=["h", "v", "start", "end"])
 
 
 def cut(texts: DataFrame, whole: bool) -> DataFrame:
@@ -259,6 +349,17 @@ def cut(texts: DataFrame, whole: bool) -> DataFrame:
     return arrow_map(texts.select("rk", "text", "gone"), kernel, "rk long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole)
 
 
+def _named(rows: DataFrame, level: int, hot: int, folder: str) -> tuple[DataFrame, bool]:
+    """(rk, take, hot): of each text the names of a level that stand elsewhere too, and whether any is hot."""
+    every = stored(names(rows, level), f"{folder}/names-{level}")
+    is_hot = F.count(F.lit(1)) > hot if level + 1 < len(WIDTHS) else F.lit(False)
+    both = every.groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("again").alias("again"), is_hot.alias("hot")).filter("lo < hi OR again").select("h", "hot")
+    both = stored(both, f"{folder}/shared-{level}")
+    mine = lambda c: F.collect_set(F.when(c, F.col("h")))
+    sets = every.select("h", "rk").join(both, "h").groupBy("rk").agg(mine(~F.col("hot")).alias(f"take{level}"), mine(F.col("hot")).alias(f"hot{level}"))
+    return sets, not both.filter("hot").isEmpty()
+
+
 def byte_deduplicated(docs: DataFrame, whole: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row, with ``whole`` also the kept bytes as binary."""
     folder = shared_dir(docs.sparkSession)
@@ -267,19 +368,22 @@ def byte_deduplicated(docs: DataFrame, whole: bool = False, hot: int = HOT) -> D
     heads = rows.select("doc_id", "rk", "c1", F.xxhash64(F.lit("text"), "text").alias("c2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     heads = stored(heads, f"{folder}/heads")
     contents = stored(heads.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min("rk").alias("rk")), f"{folder}/contents")
-    shared = anchors(rows, True).groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("again").alias("again"), (F.count(F.lit(1)) > hot).alias("hot")).filter("lo < hi OR again").select("h", "hot")
-    shared = stored(shared, f"{folder}/anchors")
-    mine = lambda c: F.collect_set(F.when(c, F.col("h")))
-    found = anchors(rows, False).join(shared, "h").groupBy("rk").agg(mine(~F.col("hot")).alias("hs"), mine(F.col("hot")).alias("hot"))
-    found = stored(found.join(contents.select("rk"), "rk", "left_semi"), f"{folder}/found")
-    texts = rows.select("rk", "text").join(found.hint("merge"), "rk")
-    n = found.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0)).alias("n")).first()["n"]
-    shards = chunks_of(texts, False).repartition(max(1, -(-n // SHARD)), "h").mapInArrow(sort_shard, "h long, v long, start long, end long")
-    gone = chunks_of(texts, True).join(shards.hint("merge"), ["h", "v"]).select("rk", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
-    if not shared.filter("hot").isEmpty():
-        windows = windows_of(texts)
-        again = stored(windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), f"{folder}/windows")
-        gone = gone.unionByName(windows.join(again, ["h", "w"]).select("rk", F.col("at").alias("start"), (F.col("at") + SPAN).alias("end")))
+    sets, any_hot = _named(rows, 0, hot, folder)
+    found = stored(sets.join(contents.select("rk"), "rk", "left_semi"), f"{folder}/found-0")
+    levels = 1
+    while any_hot:  # twice at most
+        behind = rows.join(found.filter(F.size(f"hot{levels - 1}") > 0).select("rk", *(f"hot{k}" for k in range(levels))).hint("merge"), "rk")
+        sets, any_hot = _named(behind, levels, hot, folder)
+        found = found.join(sets, "rk", "left")
+        for c in (f"take{levels}", f"hot{levels}"):
+            found = found.withColumn(c, F.coalesce(c, F.array().cast("array<long>")))
+        found = stored(found, f"{folder}/found-{levels}")
+        levels += 1
+    taken = [f"take{k}" for k in range(levels)]
+    texts = rows.select("rk", "text").join(found.filter(sum(F.size(c) for c in taken) > 0).hint("merge"), "rk")
+    n = found.agg(F.coalesce(F.sum(sum(F.size(c) for c in taken)), F.lit(0)).alias("n")).first()["n"]
+    shards = chunks_of(texts, levels, False).repartition(max(1, -(-n // SHARD)), "h").mapInArrow(sort_shard, "h long, v long, start long, end long")
+    gone = chunks_of(texts, levels, True).join(shards.hint("merge"), ["h", "v"]).select("rk", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
     gone = gone.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     done = cut(texts.join(gone.hint("merge"), "rk"), whole)
     out = heads.join(contents.select("c1", "c2", "copies"), ["c1", "c2"]).join(done.dropDuplicates(["rk"]), "rk", "left")
