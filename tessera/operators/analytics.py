@@ -70,6 +70,8 @@ def components(edges: DataFrame) -> DataFrame:
         hop = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
         star = stored(large.join(low, "a").select(F.inline(hop)).filter("a <> b").distinct(), f"{folder}/{k}")
         now = tuple(star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if k > 1:
+            remove_dir(spark, f"{folder}/{k - 2}")
         if now == last:
             return alone.join(star.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
         last = now
