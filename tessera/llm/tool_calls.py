@@ -10,16 +10,19 @@ r"""Tool-call linking: calls and results joined by identifier, ordered, validate
   (level, turn) is then a topological order. Calls on or behind a cycle are left over: their level is null.
 * Arguments are checked against a schema per tool name (a subset of JSON Schema: type, properties, required,
   additionalProperties, enum, minimum, maximum, minLength, maxLength, items).
-* Canonical JSON: keys sorted by code point, no blanks, non-ASCII characters as they are.
+* Canonical JSON: keys sorted by code point, no blanks, non-ASCII characters as they are; of equal keys the last one stands.
+  Strict JSON only: NaN, infinite numbers (1e400 too), lone surrogates and nesting beyond Python's depth are no JSON.
 
 Cases: a call without result has status ``no_result``, a result without call ``no_call``; null identifiers link
 to nothing, so that each such result is a row with ``n_results`` 1; malformed JSON is invalid with an error and is written as null; unknown tools are invalid; empty
-tables give no rows; repeated rows are linked like any others; extra columns are ignored.
+tables give no rows; repeated rows are linked like any others, so one identifier with several calls and results gives each pair; extra
+columns are ignored, whatever their names. The levels take as many rounds as the longest chain behind a late reference has calls.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +67,24 @@ def fault(value: object, schema: dict, at: str = "$") -> str | None:
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return json.dumps(value, ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":"))
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if math.isinf(x) or math.isnan(x):
+        raise ValueError(text)
+    return x
+
+
+def strict(text: str | None) -> object:
+    """The value of a JSON text; ``ValueError`` if it is none."""
+    try:
+        value = json.loads(text or "", parse_constant=_finite, parse_float=_finite)
+        canonical(value).encode()
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
 
 
 def parsed_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,12 +102,14 @@ def parsed_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain conversations as calls and results: each user turn calls ``reply``, and refers to the user turn two
-    before; the assistant turn that follows it is its result."""
+    """Plain conversations as calls and results: each user turn calls ``reply``; the assistant turn that follows it is its result.
+    A user turn refers to the user turn two before, or, if the length of its text is a multiple of five, to the one two
+    behind it. So references point forward too, and two turns that refer to each other are a cycle."""
     ident = lambda t: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), t.cast("string"))
     turn = F.col("turn")
     arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), turn.alias("turn")))
-    refs = F.when(turn >= 2, F.array(ident(turn - 2))).otherwise(F.array().cast("array<string>"))
+    forward = F.length(F.coalesce("text", F.lit(""))) % 5 == 0
+    refs = F.when(forward, F.array(ident(turn + 2))).when(turn >= 2, F.array(ident(turn - 2))).otherwise(F.array().cast("array<string>"))
     calls = messages.filter("role = 'user'").select("conv_id", "turn", ident(turn).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), refs.alias("refs"))
     results = messages.filter("role = 'assistant'").select("conv_id", "turn", ident(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
@@ -133,8 +155,10 @@ def levels(calls: DataFrame) -> DataFrame:
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row per call and result of one identifier, per call without result, and per result without call."""
     key = ["conv_id", "call_id"]
+    calls = calls.select(*key, "turn", "name", "arguments", "refs")
+    results = results.select(*key, "turn", "content")
     counts = results.groupBy(*key).agg(F.count(F.lit(1)).alias("n_results"))
-    calls = calls.withColumn("level0", F.col("turn")).join(levels(calls), key, "left")
+    calls = calls.join(levels(calls), key, "left")
     found = results.select(*key, F.struct("turn", "content").alias("r"))
     both = calls.join(counts, key, "left").join(found, key, "left").select(*key, "name", "turn", F.col("r.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), "level", "arguments", F.col("r.content").alias("content"), F.when(F.col("r").isNull(), "no_result").otherwise("linked").alias("status"))
     alone = found.join(calls.select(*key).distinct(), key, "left_anti").join(counts, key, "left").withColumn("n_results", F.coalesce("n_results", F.lit(1).cast("long")))
@@ -146,7 +170,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
             value, error = None, None
             if status != "no_call":
                 try:
-                    value = json.loads(args or "")
+                    value = strict(args)
                     error = fault(value, schemas[name]) if name in schemas else f"unknown tool {name}"
                 except ValueError:
                     error = "arguments are no JSON"
@@ -167,14 +191,16 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH c AS (SELECT *, 'call_' || conv_id || '_' || turn AS call_id FROM conversations WHERE role = 'user'),
-r AS (SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant')
+WITH RECURSIVE c AS (SELECT *, 'call_' || conv_id || '_' || turn AS call_id FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
+e AS (SELECT a.call_id, a.turn, b.call_id AS ref FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = CASE WHEN length(coalesce(a.text, '')) % 5 = 0 THEN a.turn + 2 ELSE a.turn - 2 END),
+v AS (SELECT call_id, turn AS level FROM c WHERE call_id NOT IN (SELECT call_id FROM e) UNION ALL SELECT e.call_id, greatest(e.turn, v.level + 1) FROM v JOIN e ON e.ref = v.call_id)
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, r.turn AS result_turn,
-       CAST(CASE WHEN r.turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results, coalesce(c.turn, r.turn) AS level,
+       CAST(CASE WHEN r.turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results, CASE WHEN c.turn IS NULL THEN r.turn ELSE v.level END AS level,
        CASE WHEN r.turn IS NULL THEN 'no_result' WHEN c.turn IS NULL THEN 'no_call' ELSE 'linked' END AS status,
        c.turn IS NOT NULL AND length(c.text) > 0 AS valid,
        '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"prompt":' || to_json(coalesce(c.text, '')) || ',"turn":' || c.turn || '}' END
        || ',"id":' || to_json(coalesce(c.call_id, r.call_id)) || ',"name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"reply"' END
        || ',"result":' || CASE WHEN r.text IS NULL THEN 'null' ELSE to_json(r.text) END || '}' AS json
-FROM c FULL JOIN r ON c.call_id = r.call_id
+FROM c FULL JOIN r ON c.call_id = r.call_id LEFT JOIN v ON v.call_id = c.call_id
 """
