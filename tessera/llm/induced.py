@@ -438,7 +438,7 @@ def scan(text: Text, queue: Queue, stream: Queue | Records, mirrored: bool, done
             done(m, same, x, other)
             out = np.flatnonzero(~inner)
             if goes_on:
-                least[:] = np.minimum(least, same.min())
+                np.minimum(least, same.min(), out=least)
             z = np.append(f[1:], len(k)) - 1
             rest = np.append(np.minimum.accumulate(same[::-1])[::-1], FAR)
             sender[xs[z]], least[xs[z]] = cs[z], rest[k[z] + 1]
@@ -448,7 +448,7 @@ def scan(text: Text, queue: Queue, stream: Queue | Records, mirrored: bool, done
         else:
             done(m, same, x, other)
             if goes_on:
-                least[:] = np.minimum(least, same.min())
+                np.minimum(least, same.min(), out=least)
         last_symbol, last_run, last_own = int(c[-1]), int(m["run"][-1]), not other[-1]
 
 
@@ -482,7 +482,7 @@ def induce(text: Text, seeds: Queue | Records, emit: Emit, lms_only: bool = Fals
 
 def lms_places(s: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Places of the LMS suffixes, the end included, and their runs of equal symbols: the valleys of the string."""
-    held, files, count, block = [], Parts(scratch, np.int64), 0, scratch.step * 8
+    held, files, count, block = [], Parts(scratch, np.int64), 0, scratch.step
     carry = np.zeros(0, np.int64)
     for a in range(0, len(s), block):
         part = np.asarray(s[max(a - 1, 0) : a + block])

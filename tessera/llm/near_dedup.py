@@ -19,7 +19,8 @@ have words, and df of them have the shingle (by its 64-bit hash).
 A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**3)**10 = 0.9992, more similar ones with more.
 
 Cases: texts of one to four words have one shingle, the whole; null, empty and wordless texts are alone in their
-class; repeated rows are members of one class; rows without doc_id get a null class; extra columns are ignored.
+class; rows are told apart by doc_id and text, so a repeated doc_id does no harm, and repeated rows get one class; the class of rows that all lack
+a doc_id is null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,21 +28,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.analytics import components
 from . import textnum as T
-from .common import arrow_map, shared_dir, stored, table
-from .graph import components
+from .common import arrow_map, release, shared_dir, slices, stored, table
 from .tiling import Words
 
 WORDS, LIKE = 5, 0.8
-BUCKET_BITS = 17
-BUCKETS = 1 << BUCKET_BITS  # the test's brute force weighs by these; the operator does not
 PACK = 4  # chunks
 RANGE = 1 << 20  # shingles that a range of hashes has by estimate
 MARKS = 1 << 23
-WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"  # a text with a match has words
+WORD = r"[\p{L}\p{N}\p{M}]"  # a text with a match has words
 BANDS, ROWS, BLOCK = 10, 3, 256
 DRAWS = 1 << 16
 U = np.uint64
@@ -70,10 +69,6 @@ def shingles(c: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return doc[new], h[new], count, np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - BUCKET_BITS)).astype(np.int64)
-
-
 def samples(h: np.ndarray, log_w: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Consistent weighted samples, (texts, BANDS * ROWS): equal entries of two texts are equal draws. Every text has a shingle.
 
@@ -90,8 +85,12 @@ def samples(h: np.ndarray, log_w: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def lowered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
 
 
 def coded(v: np.ndarray) -> bytes:
@@ -159,17 +158,18 @@ def packs(docs: DataFrame, ranges: int) -> DataFrame:
             types = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in PACKED.split(", ")])
 
-        for b in batches:
+        for b in slices(batches):
             for a, _, c in T.chunks(*T.buffers(b.column("text")), kind=Words):
                 _, h, count, first = shingles(c)
                 n = np.diff(first)
                 full = np.flatnonzero(n > 0)
                 if len(full):
-                    held.append((b.column("doc_id").take(pa.array(a + full)), h, count, n[full]))
+                    held.append((b.column("rk").take(pa.array(a + full)), h, count, n[full]))
                 if len(held) == PACK:
                     yield flush()
         if held:
             yield flush()
+        release()
 
     return docs.mapInArrow(run, PACKED)
 
@@ -216,9 +216,9 @@ def content_key(h: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np
 
 
 def signatures(rows: DataFrame, n_texts: int) -> DataFrame:
-    """(doc_id, k1, k2, bands, df) of each text with words and a doc_id; k1 and k2 name its shingles, df has the document
+    """(rk, k1, k2, bands, df) of each text with words; k1 and k2 name its shingles, df has the document
     frequencies of these by order of hash, each as often as the shingle occurs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("df", pa.binary())])
+    schema = pa.schema([("rk", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("df", pa.binary())])
 
     def run(batches):
         for t in groups(batches, ["pack"]):
@@ -239,14 +239,13 @@ def signatures(rows: DataFrame, n_texts: int) -> DataFrame:
                     key = T.mix(key * T.WORD_BASE + s[:, :, r])
                 out = []
                 for j in range(a, z):
-                    if ids[j] is not None:
-                        own = slice(first[j], first[j + 1])
-                        out.append((ids[j], k1[j], k2[j], key[j - a].view(np.int64), coded(np.repeat(df[own], count[own]))))
+                    own = slice(first[j], first[j + 1])
+                    out.append((ids[j], k1[j], k2[j], key[j - a].view(np.int64), coded(np.repeat(df[own], count[own]))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)], schema=schema)
                 a = z
 
-    return rows.repartition("pack").sortWithinPartitions("pack", "range").mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, df binary")
+    return rows.repartition("pack").sortWithinPartitions("pack", "range").mapInArrow(run, "rk long, k1 long, k2 long, bands array<long>, df binary")
 
 
 def vectors(docs: DataFrame) -> DataFrame:
@@ -296,40 +295,58 @@ def verified(pairs: DataFrame, vecs: DataFrame, n_texts: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "va", "da", "vb", "db"), kernel, "a long, b long, s double")
 
 
-def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """(doc_id, class_id, node_id) for each row; class_id is the least doc_id of the class, node_id that of its exact copies."""
+def _links(edges: DataFrame) -> DataFrame:
+    """(id, root) of the nodes of links (a, b)."""
+    return components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+
+
+def classed_rows(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """(doc_id, rk, class_id, class_rk, node_id, n_links) of each distinct row with words, ``rk`` being a hash of doc_id and text."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     low = lowered(docs)
-    packed, n_texts = weighted(low)
+    packed, n_texts = weighted(low.select("rk", "text"))
     sig = stored(signatures(packed, n_texts), f"{folder}/signatures")
-    nodes = stored(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("node_id"), F.first("bands").alias("bands")), f"{folder}/nodes")
-    keys = nodes.select(F.col("k1").alias("id"), "node_id", F.explode("bands").alias("bucket"))
+    nodes = stored(sig.groupBy("k1", "k2").agg(F.min("rk").alias("rk"), F.first("bands").alias("bands")), f"{folder}/nodes")
+    keys = nodes.select(F.col("k1").alias("id"), "rk", F.explode("bands").alias("bucket"))
     size = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{folder}/buckets")
-    met = stored(keys.join(size.hint("merge"), "bucket").select("bucket", "id", "node_id", "n"), f"{folder}/met")
-    weight = met.groupBy("id").agg(F.sum("n").alias("weight"), F.first("node_id").alias("node_id"))
+    met = stored(keys.join(size.hint("merge"), "bucket").select("bucket", "id", "rk", "n"), f"{folder}/met")
+    weight = met.groupBy("id").agg(F.sum("n").alias("weight"), F.first("rk").alias("rk"))
     weight = stored(weight, f"{folder}/weights")
     ranked = met.join(weight.select("id", "weight").hint("merge"), "id")
     leader = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "id"))["id"].alias("leader"))
     members = stored(met.select("bucket", "id").join(stored(leader, f"{folder}/leaders").hint("merge"), "bucket"), f"{folder}/members")
-    wanted = weight.select(F.col("id").alias("k1"), F.col("node_id").alias("doc_id"))
-    texts = _marked(low, wanted, "doc_id").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    dfs = sig.select("doc_id", "k1", "df").join(wanted.hint("merge"), ["k1", "doc_id"], "left_semi").groupBy(F.col("k1").alias("id")).agg(F.first("df").alias("df"))
+    wanted = weight.select(F.col("id").alias("k1"), "rk")
+    texts = _marked(low, wanted, "rk").join(wanted.select("rk").distinct().hint("merge"), "rk", "left_semi")
+    dfs = sig.select("rk", "k1", "df").join(wanted.hint("merge"), ["k1", "rk"], "left_semi").groupBy(F.col("k1").alias("id")).agg(F.first("df").alias("df"))
     vecs = stored(vectors(texts).join(dfs.hint("merge"), "id"), f"{folder}/vectors")
 
     pairs = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     compared = stored(verified(pairs, vecs, n_texts), f"{folder}/compared-0")
-    root = components(compared.filter(F.col("s") >= like), f"{folder}/star-0")
+    root = _links(compared.filter(F.col("s") >= like))
     d = members.join(compared.withColumnsRenamed({"a": "leader", "b": "id"}), ["leader", "id"], "left")
     d = d.select("bucket", "id", "leader", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(1 - F.coalesce("s", F.lit(0.0))).alias("d"))
     left = stored(_left(d, root, 1 - like), f"{folder}/left")
     links = compared.filter(F.col("s") >= like).select("a", "b").unionByName(stored(_in_blocks(left, vecs, n_texts, like), f"{folder}/links"))
-    root = components(links, f"{folder}/star-1")
+    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{folder}/all-links")
+    root = _links(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+
+    node = nodes.select("k1", "k2").join(root.join(degree, "id").withColumnRenamed("id", "k1"), "k1", "left")
+    node = node.select("k1", "k2", F.coalesce("root", "k1").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    rows = low.select("doc_id", "rk").distinct().join(sig.select("rk", "k1", "k2").distinct(), "rk").join(node, ["k1", "k2"])
+    rows = stored(rows, f"{folder}/rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
+    classes = rows.groupBy("root").agg(first.alias("c")).select("root", F.col("c.doc_id").alias("class_id"), F.col("c.rk").alias("class_rk"))
+    copies = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("node_id"))
+    return rows.join(classes, "root").join(copies, ["k1", "k2"]).select("doc_id", "rk", "class_id", "class_rk", "node_id", "n_links")
 
-    node = nodes.select("k1", "k2", "node_id").join(root.withColumnRenamed("id", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-    least = node.groupBy("root").agg(F.min("node_id").alias("class_id"))
-    classed = sig.select("doc_id", "k1", "k2").distinct().join(node.join(least, "root").select("k1", "k2", "node_id", "class_id"), ["k1", "k2"]).select("doc_id", "node_id", "class_id")
-    if_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return if_text.join(classed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("node_id", "doc_id").alias("node_id"))
+
+def near_classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """(doc_id, class_id, node_id, n_links) for each row: the least doc_id of its class, that of its exact copies, and the number
+    of texts to which a verified link of the text leads. A bucket's texts are linked as far as its class needs, not in all pairs."""
+    classed = classed_rows(docs, like).drop("doc_id")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"))
+    return every.join(classed, "rk", "left").select("doc_id", F.when(F.col("class_rk").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("node_id", "doc_id").alias("node_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -406,10 +423,12 @@ def _numbered(v: np.ndarray) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """``docs`` with one document of each class, the one of least doc_id, and one of rows equal in doc_id and text; rows without doc_id stay."""
-    first = near_classes(docs, like).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(stored(first, shared_dir(docs.sparkSession)), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """``docs`` with one row of each class, that of least doc_id (null last), and one of rows equal in doc_id and text; texts without
+    words stay, but of rows equal in doc_id and text one."""
+    later = classed_rows(docs, like).filter("rk <> class_rk").select(F.col("rk").alias("_nd_rk"))
+    rows = docs.withColumn("_nd_rk", row_key())
+    kept = rows.join(stored(later, shared_dir(docs.sparkSession)), "_nd_rk", "left_anti")
+    return kept.dropDuplicates(["_nd_rk"]).select(docs.columns)
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
