@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import json
-from collections import Counter
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, langid_cnn, near_dedup, tool_calls, toxicity, warc
@@ -79,6 +82,19 @@ def test_tool_calls_keep_every_result(spark):
     assert got == Counter(want)
 
 
+def test_tool_calls_strict_json_and_clashing_columns(spark):
+    bad = ["NaN", '{"x":Infinity}', '{"x":1e400}', '{"x":"\\ud800"}', "[" * 100_000, "", None, "{"]
+    long = json.dumps({"x": "é" * 300_000})
+    args = [*bad, '{"b":1,"a":2,"b":3}', long, long]
+    calls = spark.createDataFrame([(1, k, f"c{k}", "f", a, [f"c{k + 1}"], 7, "e", "j") for k, a in enumerate(args)], "conv_id long, turn long, call_id string, name string, arguments string, refs array<string>, level long, error string, json string")
+    results = spark.createDataFrame([(1, 50, "c0", "r", 1, 2)], "conv_id long, turn long, call_id string, content string, level long, n_results long")
+    got = sorted(tool_calls.linked(calls, results, {"f": {}}).collect(), key=lambda r: r["turn"])
+    assert [r["valid"] for r in got] == [False] * len(bad) + [True] * 3
+    assert all(json.loads(r["json"], parse_constant=lambda x: 1 / 0)["arguments"] is None for r in got[: len(bad)])
+    assert got[len(bad)]["json"].startswith('{"arguments":{"a":2,"b":3}') and len(got[-1]["json"]) > 300_000
+    assert [r["level"] for r in got] == [2 * (len(args) - 1) - k for k in range(len(args))]  # every call refers to the next
+
+
 def reference():
     raw, pattern = bpe.public_ranks()
     enc = bpe.encoder(raw, pattern)
@@ -112,28 +128,71 @@ def test_bpe_rows(hard, empty):
     assert bpe.byte_bpe(empty, *bpe.public_ranks()).count() == 0
 
 
-def jaccard_classes(texts, like=0.8):
-    low = pa.array([(t or "").lower() for t in texts], pa.large_string())
-    c = near_dedup.Words(*T.buffers(low))
-    doc, h, n, first = near_dedup.shingles(c)
-    df = np.bincount(np.unique(doc * near_dedup.BUCKETS + near_dedup.bucket(h)) % near_dedup.BUCKETS, minlength=near_dedup.BUCKETS)
-    idf = np.log1p((np.diff(first) > 0).sum() / np.maximum(df, 1)).astype(np.float32)
-    sets = [Counter(dict(zip(h[a:b].tolist(), n[a:b].tolist()))) for a, b in zip(first, first[1:])]
-    w = {s: float(idf[near_dedup.bucket(np.array([s], np.uint64))[0]]) for x in sets for s in x}
-    root = list(range(len(texts)))
+def own_shingles(text):
+    """Counted runs of five lower-cased words, or the whole of a shorter text."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    n = min(5, len(words))
+    return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if n else Counter()
+
+
+def jaccard_pairs(texts, like=0.8):
+    """All pairs of a weighted Jaccard similarity of ``like`` or more, by an inverted index."""
+    sets = [own_shingles(t) for t in texts]
+    df = Counter(x for s in sets for x in s)
+    w = {x: math.log1p(sum(map(bool, sets)) / n) for x, n in df.items()}
+    total = [sum(w[x] * n for x, n in s.items()) for s in sets]
+    where = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x, n in s.items():
+            where[x].append((k, n))
+    out = set()
+    for k, s in enumerate(sets):
+        both = Counter()
+        for x, n in s.items():
+            for j, m in where[x]:
+                if j < k:
+                    both[j] += w[x] * min(n, m)
+        out |= {(j, k) for j, v in both.items() if v >= like * (total[j] + total[k] - v)}
+    return out
+
+
+def classes_of(n, pairs):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(texts)):
-        for j in range(i):
-            keys = set(sets[i]) | set(sets[j])
-            if keys and sets[i] and sets[j] and sum(min(sets[i][k], sets[j][k]) * w[k] for k in keys) >= like * sum(max(sets[i][k], sets[j][k]) * w[k] for k in keys):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(k) for k in range(len(texts))]
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
+def jaccard_classes(texts, like=0.8):
+    return classes_of(len(texts), jaccard_pairs(texts, like))
+
+
+def test_near_classes_of_a_table_against_all_pairs(spark):
+    """Recall of the links of 0.8 and above, and no link below."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    texts = [r["text"] for r in docs.collect()]
+    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    pairs = jaccard_pairs(texts)
+    got = {r["doc_id"]: r for r in near_dedup.near_classes(docs).collect()}
+    found = sum(got[ids[a]]["class_id"] == got[ids[b]]["class_id"] for a, b in pairs)
+    assert len(pairs) > 50 and found >= 0.99 * len(pairs)
+    want = classes_of(len(texts), pairs)
+    assert all(want[k] == want[ids.index(got[i]["class_id"])] for k, i in enumerate(ids))
+
+
+def test_near_classes_of_repeated_ids(make):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    docs = make([text(0), text(1), text(0), text(2), text(0), None, text(3), text(3)], [3, 9, 9, 9, None, 9, None, None])
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_dedup.near_classes(docs).collect())
+    assert got == Counter({(3, 3, 0): 1, (9, 9, 0): 3, (9, 3, 0): 1, (None, 3, 0): 1, (None, None, 0): 2})
+    assert Counter(r["text"] for r in near_dedup.deduplicated(docs).collect()) == Counter([text(0), text(1), text(2), None, text(3)])
 
 
 def test_near_classes_match_brute_force(make):
@@ -195,7 +254,7 @@ def test_near_dedup_hard_rows(hard, empty):
     out = near_dedup.deduplicated(hard)
     ids = Counter(r["doc_id"] for r in out.collect())
     assert out.columns == hard.columns and ids[7] + ids[8] == 1 and ids[9] == 2 and ids[None] == 1 and ids[0] == ids[1] == 1
-    assert near_dedup.near_classes(hard).count() >= hard.count()
+    assert near_dedup.near_classes(hard).count() == hard.count()
     assert near_dedup.deduplicated(empty).count() == 0
 
 
@@ -246,6 +305,8 @@ def test_toxicity(make, spark, hard, empty):
     model = toxicity.train(docs, labels, ~apart)
     rows = [r for r in toxicity.toxicity(docs, model, apart).collect() if r["held_out"]]
     assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in rows]) > 0.95
+    twice = docs.unionByName(docs.filter("doc_id < 9").withColumn("text", F.lit(None).cast("string")))
+    assert len(toxicity.toxicity(twice, toxicity.train(twice, labels.union(labels), ~apart), apart).collect()) == 609
     got = toxicity.toxicity(hard, model).collect()
     assert len(got) == hard.count() and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.toxicity(empty, model).count() == 0
