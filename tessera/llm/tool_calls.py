@@ -137,7 +137,7 @@ def levels(calls: DataFrame) -> DataFrame:
         new = links.join(frontier.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"]).select(*key).distinct().join(behind, key, "left_anti")
         frontier = stored(new, f"{folder}/late-{k}")
         behind = behind.unionByName(frontier)
-    done = nodes.join(behind, key, "left_anti")
+    done = stored(nodes.join(behind, key, "left_anti"), f"{folder}/done")
     todo = stored(nodes.join(behind, key), f"{folder}/todo-0")
     k = 0
     while True:
