@@ -5,8 +5,8 @@ r"""Tool-call linking: calls and results joined by identifier, ordered, validate
   conversation is hot. Every pair of a call and a result of its identifier is a row, and ``n_results`` tells how many
   results the identifier has.
 * Order: a call comes after the calls that it refers to, and a result after its call. A call's level is its
-  turn; only where a reference does not point to a lower turn, the calls on and behind it get new levels, layer by
-  layer: a call all of whose references have levels gets the highest of them plus one, or its turn. Sorting by
+  turn; only in conversations where a reference does not point to a lower turn, calls get new levels: a call all of whose references have
+  levels gets the highest of them plus one, or its turn. Sorting by
   (level, turn) is then a topological order. Calls on or behind a cycle are left over: their level is null.
 * Arguments are checked against a schema per tool name (a subset of JSON Schema: type, properties, required,
   additionalProperties, enum, minimum, maximum, minLength, maxLength, items).
@@ -16,7 +16,7 @@ r"""Tool-call linking: calls and results joined by identifier, ordered, validate
 Cases: a call without result has status ``no_result``, a result without call ``no_call``; null identifiers link
 to nothing, so that each such result is a row with ``n_results`` 1; malformed JSON is invalid with an error and is written as null; unknown tools are invalid; empty
 tables give no rows; repeated rows are linked like any others, so one identifier with several calls and results gives each pair; extra
-columns are ignored, whatever their names. The levels take as many rounds as the longest chain behind a late reference has calls.
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,40 +116,47 @@ def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls; see the module's text. Only identifiers and numbers are read and moved."""
+    """(conv_id, call_id, level) of calls; see the module's text. Only identifiers and numbers are read and moved.
+
+    In conversations with a late reference, a call's level is the greater of its turn and one more than the highest level that it refers
+    to. A call with one reference is a function of the level at its end, and such functions are put together two by two each
+    round, so that a chain takes rounds by the logarithm of its length; a call with more waits until all of them have levels."""
     spark, folder = calls.sparkSession, shared_dir(calls.sparkSession)
+    key = ["conv_id", "call_id"]
     heads = calls.filter("conv_id IS NOT NULL AND call_id IS NOT NULL")
-    nodes = heads.groupBy("conv_id", "call_id").agg(F.max("turn").alias("level"))
-    edges = heads.select("conv_id", "call_id", F.explode("refs").alias("ref")).filter("ref IS NOT NULL").distinct()
-    placed = edges.join(nodes, ["conv_id", "call_id"]).join(nodes.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below")), ["conv_id", "ref"])
+    nodes = stored(heads.groupBy(*key).agg(F.max("turn").cast("long").alias("level")), f"{folder}/nodes")
+    edges = heads.select(*key, F.explode("refs").alias("ref")).filter("ref IS NOT NULL").distinct()
+    placed = edges.join(nodes, key).join(nodes.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below")), ["conv_id", "ref"])
     edges = stored(placed, f"{folder}/edges")
-    late = edges.filter("below >= level").select("conv_id", "call_id").distinct()
-    n_late = late.count()
-    if not n_late:
-        remove_dir(spark, folder)
+    late = stored(edges.filter("below >= level").select("conv_id").distinct(), f"{folder}/late")
+    if late.isEmpty():
         return nodes
-    key = ["conv_id", "call_id"]
-    links = edges.select(*key, "ref")
-    behind = frontier = stored(late, f"{folder}/late-0")  # the calls on or behind such references
-    k = 0
-    while not frontier.isEmpty():
-        k += 1
-        new = links.join(frontier.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"]).select(*key).distinct().join(behind, key, "left_anti")
-        frontier = stored(new, f"{folder}/late-{k}")
-        behind = behind.unionByName(frontier)
-    done = stored(nodes.join(behind, key, "left_anti"), f"{folder}/done")
-    todo = stored(nodes.join(behind, key), f"{folder}/todo-0")
-    k = 0
-    while True:
-        k += 1
-        below = links.join(todo.select(*key), key, "left_semi").join(done.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below")), ["conv_id", "ref"], "left")
-        ready = below.groupBy(*key).agg(F.count_if(F.col("below").isNull()).alias("open"), (F.max("below") + 1).alias("need"))
-        state = stored(todo.join(ready, key, "left"), f"{folder}/state-{k}")
-        free = state.filter(F.coalesce("open", F.lit(0)) == 0).select(*key, F.greatest("level", F.coalesce("need", "level")).alias("level"))
-        if free.isEmpty():
-            return done.unionByName(todo.select(*key, F.lit(None).cast("long").alias("level")))
-        done = done.unionByName(free)
-        todo = state.filter("open > 0").select(*key, "level")
+    links = edges.join(late, "conv_id", "left_semi").select(*key, "ref")
+    refs = links.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("to"))
+    todo = nodes.join(late, "conv_id", "left_semi").join(refs, key, "left")
+    kind = F.when(F.col("n").isNull(), "done").when(F.col("n") == 1, "one").otherwise("many").alias("kind")
+    state = stored(todo.select(*key, "level", kind, "n", F.when(F.col("n") == 1, F.col("to")).alias("to"), F.lit(1).cast("long").alias("steps")), f"{folder}/state-0")
+    links = stored(links.join(state.filter("kind = 'many'").select(*key), key, "left_semi"), f"{folder}/links")
+    k, n_done, some_many = 0, -1, not links.isEmpty()
+    while (n := state.filter("kind = 'done'").count()) > n_done:
+        n_done, k = n, k + 1
+        end = state.select("conv_id", F.col("call_id").alias("to"), F.struct("level", "kind", F.col("to").alias("to"), "steps").alias("end"))
+        far = F.least(F.col("steps") + F.col("end.steps"), F.lit(1 << 40))  # around a cycle the steps would grow for ever
+        moves = F.col("end.kind") != "many"
+        one = state.filter("kind = 'one'").join(end, ["conv_id", "to"]).select(
+            *key, F.when(moves, F.greatest("level", F.col("end.level") + F.col("steps"))).otherwise(F.col("level")).alias("level"),
+            F.when(F.col("end.kind") == "done", "done").otherwise("one").alias("kind"), "n", F.when(F.col("end.kind") == "one", F.col("end.to")).otherwise(F.col("to")).alias("to"),
+            F.when(F.col("end.kind") == "one", far).otherwise(F.col("steps")).alias("steps"),
+        )
+        after = state.filter("kind = 'done'").unionByName(one)
+        if some_many:
+            below = links.join(state.filter("kind = 'done'").select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below")), ["conv_id", "ref"]).groupBy(*key).agg(F.count(F.lit(1)).alias("got"), F.max("below").alias("below"))
+            many, ready = state.filter("kind = 'many'").join(below, key, "left"), F.coalesce(F.col("got") == F.col("n"), F.lit(False))
+            after = after.unionByName(many.select(*key, F.when(ready, F.greatest("level", F.col("below") + 1)).otherwise(F.col("level")).alias("level"), F.when(ready, "done").otherwise("many").alias("kind"), "n", "to", "steps"))
+        state = stored(after, f"{folder}/state-{k}")
+        remove_dir(spark, f"{folder}/state-{k - 1}")
+    solved = state.select(*key, F.when(F.col("kind") == "done", F.col("level")).alias("level"))
+    return nodes.join(late, "conv_id", "left_anti").unionByName(solved)
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
