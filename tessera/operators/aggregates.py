@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.sparql import decimal_text, exact
 from ..terms import LITERAL, XSD, num, term
 
 
@@ -29,16 +30,23 @@ def _class(t: Column) -> Column:
     return F.when(rank == 2, XSD + "double").when(rank == 1, XSD + "decimal").otherwise(XSD + "integer")
 
 
+def _total(t: Column) -> Column:
+    """The sum as text: integers and decimals without rounding, in doubles if one value is a double."""
+    whole, parts = F.try_sum(exact(t, "decimal(38,0)")), F.try_sum(exact(t, "decimal(38,10)"))
+    zero = F.lit("0")
+    return F.when(_class(t) == XSD + "integer", F.coalesce(whole.cast("string"), zero)).when(_class(t) == XSD + "decimal", F.coalesce(decimal_text(parts), zero)).otherwise(F.coalesce(F.sum(num(t)), F.lit(0.0)).cast("string"))
+
+
 def sum_(t: Column) -> Column:
-    total = F.coalesce(F.sum(num(t)), F.lit(0.0))
-    text = F.when(_class(t) == XSD + "integer", total.cast("decimal(38,0)").cast("string")).otherwise(total.cast("string"))
-    return F.when(_all_numbers(t), term(LITERAL, text, _class(t)))
+    return F.when(_all_numbers(t), term(LITERAL, _total(t), _class(t)))
 
 
 def avg(t: Column) -> Column:
     """Of no values 0, as the specification has it; integers give a decimal."""
     kind = F.when(_class(t) == XSD + "double", XSD + "double").otherwise(XSD + "decimal")
-    return F.when(_all_numbers(t), term(LITERAL, F.coalesce(F.avg(num(t)), F.lit(0.0)).cast("string"), kind))
+    mean = F.try_divide(F.try_sum(exact(t, "decimal(38,10)")), F.count(num(t)))
+    text = F.when(kind == XSD + "double", F.coalesce(F.avg(num(t)), F.lit(0.0)).cast("string")).otherwise(F.coalesce(decimal_text(mean), F.lit("0")))
+    return F.when(_all_numbers(t), term(LITERAL, text, kind))
 
 
 def min_(t: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..terms import TERM, constant, iri
+from ..terms import QUOTED, TERM, constant, iri
 
 Pattern = tuple  # (s, p, o) of "?var" or constants
 
@@ -142,6 +142,37 @@ def not_exists(a: DataFrame, b: DataFrame) -> DataFrame:
     return join(a, b, how="left_anti") if shared(a, b) else a.filter(F.lit(b.isEmpty()))
 
 
+def lateral(a: DataFrame, b: DataFrame, order: list[Column], limit: int, outer: bool = False) -> DataFrame:
+    """For each row of ``a`` the first ``limit`` compatible rows of ``b`` in ``order``; with ``outer`` rows of ``a`` without one stay.
+
+    A join and a window over a key of the row of ``a``, whose least rows Spark picks before it shuffles."""
+    from pyspark.sql import Window
+
+    keyed = a.withColumn("_row", F.monotonically_increasing_id())
+    both = join(keyed, b, how="left" if outer else "inner")
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy(*order))).filter(F.col("_n") <= limit).drop("_n", "_row")
+
+
+def quoted_match(quads: DataFrame, inner: Pattern, p: str, o: object, graph: str | None = "", side: str = "s") -> DataFrame:
+    """Solutions of a pattern whose subject (or object: ``side`` "o") is a quoted triple with variables inside: ``<< ?a p ?b >> p o``."""
+    from ..sources.ntriples import quoted_parts
+
+    outer = ("?_q", p, o) if side == "s" else (o, p, "?_q")
+    rows = match(quads, outer, graph)
+    rows = rows.filter(F.col("_q")["k"] == QUOTED).withColumn("_t", quoted_parts(F.col("_q")["v"])).drop("_q")
+    out = rows
+    for name, x in zip(("s", "p", "o"), inner):
+        part = F.col("_t")[name]
+        out = out.filter(part.isNotNull())
+        if not (v := var(x)):
+            out = out.filter(same(part, iri(x) if name == "p" else constant(x)))
+        elif v in out.columns:
+            out = out.filter(same(part, F.col(v)))
+        else:
+            out = out.withColumn(v, part)
+    return out.drop("_t", "_one")
+
+
 def extend(a: DataFrame, name: str, value: Column) -> DataFrame:
     return a.withColumn(name, value)
 

@@ -55,6 +55,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, del
     return ranks.select("node", "rank")
 
 
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): the seeds (column ``node``) and all nodes to which links lead from them."""
+    from ..store import fixpoint
+
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+    return fixpoint(seeds.select("node").distinct(), lambda new, _: new.join(links, "node").select(F.col("_to").alias("node")), ["node"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component), the component named by its least node: alternating large and small stars."""
     spark = edges.sparkSession

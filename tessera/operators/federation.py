@@ -1,4 +1,4 @@
-"""Several graphs behind names, access by graph, provenance and semi-join tables."""
+"""Access by graph, quotas, provenance and semi-join tables."""
 
 from __future__ import annotations
 
@@ -9,25 +9,6 @@ from . import algebra as A
 from ..store import QUAD
 
 
-class Endpoints:
-    """SERVICE without a network: endpoint names stand for graphs of the same session."""
-
-    def __init__(self, graphs: dict[str, DataFrame]) -> None:
-        self.graphs = graphs
-
-    def service(self, name: str, patterns: list, silent: bool = False) -> DataFrame:
-        """Solutions at one endpoint, or with ``?name`` at all of them, the endpoint bound to the variable."""
-        if v := A.var(name):
-            parts = [A.bgp(g, patterns).withColumn(v, A.constant(f"<{n}>")) for n, g in sorted(self.graphs.items())]
-            return A.union(*parts)
-        if name not in self.graphs:
-            if not silent:
-                raise KeyError(f"no endpoint {name}")
-            any_graph = next(iter(self.graphs.values()))
-            return A.bgp(any_graph.filter(F.lit(False)), patterns)
-        return A.bgp(self.graphs[name], patterns)
-
-
 def visible(quads: DataFrame, grants: DataFrame, role: str) -> DataFrame:
     """The default graph and the graphs that ``grants`` (role, g) opens to the role."""
     mine = grants.filter(F.col("role") == role).select("g").distinct()

@@ -51,6 +51,20 @@ def count(focus: DataFrame, path: DataFrame, least: int = 0, most: int | None =
     return out if most is None else out.unionByName(_report(n.filter(F.col("n") > most), "maxCount", F.col("n")))
 
 
+def count_for(focus: DataFrame, facts: DataFrame, start: str, end: str, least: int = 0, most: int | None = None) -> DataFrame:
+    """minCount and maxCount of the values that hold at any time in [start, end): ``facts`` (s, o, valid_from, valid_to)."""
+    from .temporal import window
+
+    return count(focus, window(facts, start, end).select("s", "o"), least, most)
+
+
+def rule(quads: DataFrame, focus: DataFrame, subject: Column, predicate: str, value: Column, path: DataFrame | None = None) -> DataFrame:
+    """The quads that a triple rule makes for its focus nodes: ``subject`` and ``value`` are over ``focus`` and, with a path, its ``value``."""
+    rows = focus if path is None else values_of(focus, path)
+    made = rows.select(subject.alias("s"), F.lit(predicate).alias("p"), value.alias("o"), F.lit("").alias("g"))
+    return made.filter("s IS NOT NULL AND o IS NOT NULL").distinct()
+
+
 def where(focus: DataFrame, path: DataFrame, name: str, good: Column) -> DataFrame:
     """Values for which ``good`` (over ``value``) is not true."""
     return _report(values_of(focus, path).filter(~F.coalesce(good, F.lit(False))), name)

@@ -49,6 +49,30 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], width: str = "1 day")
     return both.filter(overlap & (F.col("_slot") == slot(F.greatest("a_from", "b_from")))).drop("_slot")
 
 
+def overlap_counts(intervals: DataFrame, on: list[str], width: str = "1 day") -> DataFrame:
+    """(on, n): how many unordered pairs of half-open intervals (valid_from, valid_to) with equal ``on`` overlap, without making the pairs.
+
+    A pair overlaps if one starts before the other ends and has not ended when it starts. So the number follows from the starts before each end
+    and the ends up to each start: sums by time, running within a time slot, moved on by the sums of the slots before."""
+    seconds = {"1 hour": 3600, "1 day": 86400, "7 days": 604800}[width]
+    point = lambda c, s, e: F.struct(F.col(c).alias("t"), F.lit(s).alias("s"), F.lit(e).alias("e"))
+    empty = F.struct(F.col("valid_from").alias("t"), F.lit(0).alias("s"), F.lit(0).alias("e"))
+    full = F.col("valid_from") < F.col("valid_to")
+    rows = intervals.select(*on, F.explode(F.array(point("valid_from", 1, 0), point("valid_to", 0, 1), empty)).alias("x"), full.alias("full"))
+    mark = (F.col("x.s") == 0) & (F.col("x.e") == 0)
+    at = rows.groupBy(*on, F.col("x.t").alias("t")).agg(F.sum("x.s").alias("s"), F.sum("x.e").alias("e"), F.count_if(mark & F.col("full")).alias("full"), F.count_if(mark & ~F.col("full")).alias("z"))
+    at = at.withColumn("slot", F.floor(F.unix_timestamp(F.col("t").cast("timestamp")) / seconds))
+    slots = at.groupBy(*on, "slot").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    before = Window.partitionBy(*on).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*on, "slot", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "se"])
+    inner = Window.partitionBy(*on, "slot").orderBy("t")
+    run = at.join(slots, [*on, "slot"]).select(
+        *on, "s", "e", "full", "z", (F.col("s0") + F.sum("s").over(inner) - F.col("s")).alias("starts_before"), (F.col("e0") + F.sum("e").over(inner)).alias("ended"),
+    )
+    ordered = F.sum(F.col("e") * F.col("starts_before") - F.col("s") * F.col("ended") + F.col("z") * F.col("z")) - F.sum("full")
+    return run.groupBy(*on).agg((ordered / 2).cast("long").alias("n"))
+
+
 def versions(events: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
     """(key, value, valid_from, valid_to): each value holds until the next one of its key."""
     w = Window.partitionBy(*key).orderBy(time, value)

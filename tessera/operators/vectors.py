@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import Down, ranked
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,48 +18,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int = 10, block: int = 1024, items_block: int = 16384) -> DataFrame:
     """(query, item, similarity): the k items of highest cosine for each query, exact.
 
-    Queries (id, vector) go in blocks, one broadcast each of at most ``block`` rows; a task multiplies its items with a
-    block in one matrix product and passes on its own k best for each query, so a few rows a task are shuffled.
+    Queries and items (id, vector) are dealt into blocks; a block of queries meets a block of items in one group, whose cosines are one
+    matrix product, and passes on its own k best for each query. Rows are copied once for each block of the other side.
     """
-    rows = queries.select("id", "vector").orderBy("id").collect()  # a stated query set, held on the driver in whole
-    parts = []
-    for a in range(0, len(rows), block):
-        ids = np.array([r["id"] for r in rows[a : a + block]])
-        q = np.array([r["vector"] for r in rows[a : a + block]], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        parts.append(_best(items, ids, q, k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    n, m = queries.count(), items.count()
+    nq, ni = -(-n // block) or 1, -(-m // items_block) or 1
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    q = queries.select(own(nq).alias("i"), every(ni).alias("j"), F.col("id").cast("long").alias("id"), "vector")
+    v = items.select(every(nq).alias("i"), own(ni).alias("j"), F.col("id").cast("long").alias("id"), "vector")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (np.array(t.column("vector").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (a, b))
+        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+        if not len(ids) or not len(others):
+            return pa.table({"query": pa.array([], pa.int64()), "item": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        order = np.argsort(others)
+        x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (x, y[order]))
+        s = np.round(x @ y.T, 12)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pa.table({"query": np.repeat(ids, top.shape[1]), "item": others[order][top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
+
+    found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(best, "query long, item long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "item")
-    return out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).drop("n")
-
-
-def _best(items: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    sent = items.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches):
-        ids, q = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = np.array(b.column("vector").flatten(), np.float64).reshape(b.num_rows, -1)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            own = b.column("id").to_numpy()
-            order = np.argsort(own)
-            s = np.round(q @ v[order].T, 12)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(own[order][top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query", "item", "similarity"])
-
-    return items.select("id", "vector").mapInArrow(run, "query long, item long, similarity double")
+    return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).drop("n")
 
 
 def fused(a: DataFrame, b: DataFrame, alpha: float = 0.5, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two scored lists (id, score): alpha / (k + rank) + (1 - alpha) / (k + rank)."""
-    rank = lambda d, name: d.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias(name))
-    both = rank(a, "ra").join(rank(b, "rb"), "id", "full")
+    both = ranked(a.select("id", "score"), [Down("score"), "id"], "ra").drop("score").join(ranked(b.select("id", "score"), [Down("score"), "id"], "rb").drop("score"), "id", "full")
     part = lambda w, c: F.coalesce(F.lit(w) / (k + F.col(c)), F.lit(0.0))
     return both.select("id", (part(alpha, "ra") + part(1 - alpha, "rb")).alias("score"))

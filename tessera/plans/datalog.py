@@ -44,16 +44,24 @@ def _predicate(atom: Atom) -> str:
     return "*" if A.var(atom[1]) else atom[1]
 
 
-def strata(rules: list[Rule]) -> list[list[Rule]]:
-    """Rules in layers: what a negative atom names is complete in a lower layer. A negative cycle has none."""
+def _head(r: Rule | Aggregate) -> str:
+    return r.predicate if isinstance(r, Aggregate) else _predicate(r.head)
+
+
+def _meets(a: str, b: str) -> bool:
+    return "*" in (a, b) or a == b
+
+
+def strata(rules: list[Rule | Aggregate]) -> list[list[Rule | Aggregate]]:
+    """Rules in layers: what a negative atom names, or an aggregate counts, is complete in a lower layer. A cycle through one has none."""
     level = {id(r): 0 for r in rules}
-    touches = lambda a, h: "*" in (_predicate(a), _predicate(h)) or _predicate(a) == _predicate(h)
     for _ in range(len(rules) + 1):
         changed = False
         for r in rules:
+            body, strict = ([], [r.pattern]) if isinstance(r, Aggregate) else (r.body, r.negative)
             for q in rules:
-                need = max((level[id(q)] for a in r.body if touches(a, q.head)), default=0)
-                need = max([need, *(level[id(q)] + 1 for a in r.negative if touches(a, q.head))])
+                need = max((level[id(q)] for a in body if _meets(_predicate(a), _head(q))), default=0)
+                need = max([need, *(level[id(q)] + 1 for a in strict if _meets(_predicate(a), _head(q)))])
                 if need > level[id(r)]:
                     level[id(r)], changed = need, True
         if not changed:
@@ -61,19 +69,23 @@ def strata(rules: list[Rule]) -> list[list[Rule]]:
             return [[r for r in rules if level[id(r)] == k] for k in layers]
         if max(level.values()) > len(rules):
             break
-    raise ValueError("a rule depends on its own negation")
+    raise ValueError("a rule depends on its own negation or aggregate")
 
 
-def _solutions(rule: Rule, delta: DataFrame | None, known: DataFrame, against: DataFrame | None = None) -> DataFrame:
-    """Solutions of the body; with ``delta``, those with a new fact at some atom."""
+def _solutions(rule: Rule, delta: DataFrame | None, known: DataFrame, against: DataFrame | None = None, heads: set[str] | None = None) -> DataFrame | None:
+    """Solutions of the body; with ``delta``, those with a new fact at some atom (of the predicates ``heads``, which alone have new facts)."""
     parts = []
     for k in range(len(rule.body) if delta is not None else 1):
+        if delta is not None and heads is not None and not any(_meets(_predicate(rule.body[k]), h) for h in heads):
+            continue
         rows = A.match(delta if delta is not None else known, rule.body[k], "")
         rest = [a for i, a in enumerate(rule.body) if i != k]
         while rest:
             n = next((i for i, a in enumerate(rest) if {v for x in a if (v := A.var(x))} & set(rows.columns)), 0)
             rows = A.join(rows, A.match(known, rest.pop(n), ""))
         parts.append(rows)
+    if not parts:
+        return None
     out = reduce(lambda a, b: a.unionByName(b), parts)
     for name, value in rule.binds.items():
         out = out.withColumn(name, value())
@@ -84,41 +96,130 @@ def _solutions(rule: Rule, delta: DataFrame | None, known: DataFrame, against: D
     return out
 
 
-def infer(quads: DataFrame, rules: list[Rule | Aggregate], max_rounds: int | None = None) -> DataFrame:
-    """``quads`` and all that follows, stratum by stratum. Aggregates run first, over the given facts."""
-    known = quads.select(QUAD)
-    for agg in [r for r in rules if isinstance(r, Aggregate)]:
-        rows = A.match(known, agg.pattern, "").groupBy(agg.group).agg(agg.value().alias("_value"))
-        made = rows.select(F.col(agg.group).alias("s"), F.lit(agg.predicate).alias("p"), F.col("_value").alias("o"), F.lit("").alias("g"))
-        known = known.unionByName(made)
-    for layer in strata([r for r in rules if isinstance(r, Rule)]):
-        step = lambda new, all_, layer=layer: reduce(DataFrame.unionByName, [A.construct(_solutions(r, new, all_), [r.head]).select(QUAD) for r in layer])
-        known = fixpoint(known, step, QUAD, max_rounds)
-    return known
+def _consequences(rules: list[Rule | Aggregate], delta: DataFrame | None, known: DataFrame, against: DataFrame | None = None, heads: set[str] | None = None) -> DataFrame | None:
+    """The heads of all solutions, as quads."""
+    parts = []
+    for r in rules:
+        if isinstance(r, Aggregate):
+            rows = A.match(known, r.pattern, "").groupBy(r.group).agg(r.value().alias("_value"))
+            parts.append(rows.select(F.col(r.group).alias("s"), F.lit(r.predicate).alias("p"), F.col("_value").alias("o"), F.lit("").alias("g")))
+        elif (rows := _solutions(r, delta, known, against, heads)) is not None:
+            parts.append(A.construct(rows, [r.head]).select(QUAD))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _of(quads: DataFrame, heads: set[str]) -> DataFrame:
+    """The facts that a rule could also derive: a filter that prunes a partitioned or mapped graph."""
+    return quads if "*" in heads else quads.filter(F.col("p").isin(sorted(heads)))
+
+
+def derived(quads: DataFrame, rules: list[Rule | Aggregate], max_rounds: int | None = None, against: DataFrame | None = None) -> DataFrame:
+    """What follows and is not given, stratum by stratum.
+
+    Given facts are read where they are; only derived ones are written. A stratum whose heads none of its bodies name
+    is one plan. The others run semi-naive: a round joins the new facts with all at the atoms that can meet them. With ``against``, negative atoms
+    are looked up there, and there is one stratum."""
+    spark, base = quads.sparkSession, quads.select(QUAD)
+    schema, folder, done = base.schema, shared_dir(quads.sparkSession), []
+    for n, layer in enumerate(strata(rules) if against is None else [rules]):
+        heads = {_head(r) for r in layer}
+        recursive = any(_meets(_predicate(a), h) for r in layer if isinstance(r, Rule) for a in r.body for h in heads)
+        below = reduce(DataFrame.unionByName, [base, *done])
+
+        def new(rows: DataFrame, known: DataFrame) -> DataFrame:
+            return rows.dropDuplicates(QUAD).join(_of(known, heads), QUAD, "left_anti").select(QUAD)
+
+        delta, paths = stored(new(_consequences(layer, None, below, against), below), f"{folder}/{n}-0"), [f"{folder}/{n}-0"]
+        while recursive and (max_rounds is None or len(paths) < max_rounds) and not delta.isEmpty():
+            known = below.unionByName(spark.read.schema(schema).parquet(*paths))
+            more = _consequences(layer, delta, known, against, heads)
+            if more is None:
+                break
+            paths.append(f"{folder}/{n}-{len(paths)}")
+            delta = stored(new(more, known), paths[-1])
+        done.append(spark.read.schema(schema).parquet(*paths))
+    return reduce(DataFrame.unionByName, done) if done else base.limit(0)
+
+
+def infer(quads: DataFrame, rules: list[Rule | Aggregate], max_rounds: int | None = None, against: DataFrame | None = None) -> DataFrame:
+    """``quads`` and all that follows."""
+    return quads.select(QUAD).unionByName(derived(quads, rules, max_rounds, against))
 
 
 def inferred(quads: DataFrame, rules: list, **options) -> DataFrame:
     """Only what is new."""
-    return infer(quads, rules, **options).join(quads.select(QUAD), QUAD, "left_anti").select(QUAD)
+    return derived(quads, rules, **options)
 
 
-def relevant(rules: list[Rule], goal: Atom) -> list[Rule]:
+def _needs(r: Rule | Aggregate) -> list[Atom]:
+    return [r.pattern] if isinstance(r, Aggregate) else [*r.body, *r.negative]
+
+
+def relevant(rules: list, goal: Atom) -> list:
     """The rules that the goal's predicate depends on."""
     want, out = {_predicate(goal)}, []
     while True:
-        more = [r for r in rules if r not in out and ("*" in want or _predicate(r.head) in want or _predicate(r.head) == "*")]
+        more = [r for r in rules if not any(r is q for q in out) and any(_meets(_head(r), p) for p in want)]
         if not more:
             return out
         out += more
-        want |= {_predicate(a) for r in more for a in [*r.body, *r.negative]}
-
-
-def ask_goal(quads: DataFrame, rules: list[Rule], goal: Atom) -> DataFrame:
-    """Solutions of one pattern: only rules and facts that it depends on are looked at."""
+        want |= {_predicate(a) for r in more for a in _needs(r)}
+
+
+def _vars(*terms: object) -> set[str]:
+    return {v for t in terms if (v := A.var(t))}
+
+
+MAGIC = "urn:tessera:magic:"
+
+
+def magic(rules: list[Rule], goal: Atom) -> tuple[list[Rule], Atom] | None:
+    """The rules with a magic atom each, so that only what the goal's constant asks for is derived, and the goal's seed.
+
+    A predicate is asked by its subject (``s``) or its object (``o``). The magic fact (x, magic:o:p, x) says that p is asked for object x.
+    None where that does not apply: no constant, variable predicates, negation, aggregates, or a body atom asked at no end."""
+    bound = "o" if not A.var(goal[2]) else "s" if not A.var(goal[0]) else None
+    if bound is None or any(isinstance(r, Aggregate) or r.negative or A.var(r.head[1]) or any(A.var(a[1]) for a in r.body) for r in rules):
+        return None
+    heads, name = {r.head[1] for r in rules}, lambda p, end: f"{MAGIC}{end}:{p}"
+    todo, seen, out = [(goal[1], bound)], set(), []
+    while todo:
+        p, end = todo.pop()
+        if (p, end) in seen:
+            continue
+        seen.add((p, end))
+        for r in [r for r in rules if r.head[1] == p]:
+            start = r.head[0 if end == "s" else 2]
+            ask = (start, name(p, end), start)
+            out.append(Rule(r.head, [ask, *r.body], [], r.guard, r.binds, r.weight))
+            known, before, rest = _vars(start), [ask], list(r.body)
+            while rest:  # sideways: an atom with a known end, once asked, makes its other end known
+                atom = next((a for a in rest if (_vars(a[0], a[2]) & known) or not A.var(a[0]) or not A.var(a[2])), None)
+                if atom is None:
+                    return None
+                rest.remove(atom)
+                if atom[1] in heads:
+                    side = "s" if not A.var(atom[0]) or A.var(atom[0]) in known else "o"
+                    x = atom[0 if side == "s" else 2]
+                    if (x, name(atom[1], side), x) != ask:
+                        out.append(Rule((x, name(atom[1], side), x), list(before)))
+                    todo.append((atom[1], side))
+                known |= _vars(atom[0], atom[2])
+                before.append(atom)
+    constant = goal[0 if bound == "s" else 2]
+    return out, (constant, name(goal[1], bound), constant)
+
+
+def ask_goal(quads: DataFrame, rules: list, goal: Atom) -> DataFrame:
+    """Solutions of one pattern: only rules and facts that it depends on are looked at, and with a constant in it only what is asked for is derived."""
     need = relevant(rules, goal)
-    names = {_predicate(goal)} | {_predicate(a) for r in need for a in [*r.body, *r.negative]}
+    names = {_predicate(goal)} | {_predicate(a) for r in need for a in _needs(r)}
     facts = quads if "*" in names else quads.filter(F.col("p").isin(sorted(names)))
-    return A.match(infer(facts, need), goal, "")
+    if need and (asked := magic(need, goal)) is not None:
+        need, (s, p, o) = asked
+        seed = quads.sparkSession.range(1).select(A.constant(s).alias("s"), F.lit(p).alias("p"), A.constant(o).alias("o"), F.lit("").alias("g"))
+        facts = facts.select(QUAD).unionByName(seed)
+    return A.match(infer(facts, need), goal, "").distinct()
 
 
 def violations(quads: DataFrame, body: list[Atom], negative: list[Atom] | None = None, guard: Callable[[], Column] | None = None) -> DataFrame:
@@ -132,8 +233,7 @@ def well_founded(quads: DataFrame, rules: list[Rule]) -> DataFrame:
     folder, k = shared_dir(quads.sparkSession), 0
 
     def model(against: DataFrame) -> DataFrame:
-        step = lambda new, all_: reduce(DataFrame.unionByName, [A.construct(_solutions(r, new, all_, against), [r.head]).select(QUAD) for r in rules])
-        return fixpoint(base, step, QUAD)
+        return infer(base, [Rule(r.head, r.body, r.negative, r.guard, r.binds) for r in rules], None, against)
 
     under, before = base, -1
     while True:
@@ -163,12 +263,31 @@ def lattice(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[s
 
 
 def retracted(base: DataFrame, gone: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The closure after a deletion: what could rest on a deleted fact is deleted first and derived again from the rest."""
-    full = infer(base, rules)
-    lost = fixpoint(gone.select(QUAD), lambda new, _: reduce(DataFrame.unionByName, [A.construct(_solutions(r, new, full), [r.head]).select(QUAD) for r in rules]), QUAD)
+    """The closure after a deletion: derived facts that could rest on a deleted one are taken out, and those of them that still follow
+    from the rest are put back, so nothing else is derived again."""
+    spark, folder = base.sparkSession, shared_dir(base.sparkSession)
+    heads = {_head(r) for r in rules}
+    mine = derived(base, rules)
+    full = base.select(QUAD).unionByName(mine)
     kept_base = base.select(QUAD).join(gone.select(QUAD), QUAD, "left_anti")
-    safe = full.join(lost, QUAD, "left_anti").select(QUAD)
-    return infer(safe.unionByName(kept_base).distinct(), rules)
+
+    def reached(first: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame | None], within: DataFrame, tag: str) -> DataFrame:
+        """Facts of ``within`` that ``first`` and then the new ones lead to."""
+        delta, paths = stored(first.dropDuplicates(QUAD).join(within, QUAD, "left_semi").select(QUAD), f"{folder}/{tag}-0"), [f"{folder}/{tag}-0"]
+        while not delta.isEmpty():
+            known = spark.read.schema(delta.schema).parquet(*paths)
+            more = step(delta, known)
+            if more is None:
+                break
+            paths.append(f"{folder}/{tag}-{len(paths)}")
+            delta = stored(more.dropDuplicates(QUAD).join(known, QUAD, "left_anti").join(within, QUAD, "left_semi").select(QUAD), paths[-1])
+        return spark.read.schema(delta.schema).parquet(*paths)
+
+    first = _consequences(rules, stored(gone.select(QUAD), f"{folder}/gone"), full)
+    lost = reached(first, lambda new, _: _consequences(rules, new, full, heads=heads), mine, "lost")
+    rest = kept_base.unionByName(mine.join(lost, QUAD, "left_anti").select(QUAD))
+    back = reached(_consequences(rules, None, rest), lambda new, known: _consequences(rules, new, rest.unionByName(known), heads=heads), lost.unionByName(_of(gone.select(QUAD), heads)), "back")
+    return rest.unionByName(back.join(kept_base, QUAD, "left_anti").select(QUAD))
 
 
 def hypothetical(base: DataFrame, rules: list, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
@@ -201,6 +320,21 @@ def weighted(quads: DataFrame, confidence: DataFrame, rules: list[Rule]) -> Data
     return reduce(DataFrame.unionByName, parts).groupBy("s", "p", "o").agg(noisy_or(F.col("c")).alias("confidence"))
 
 
+def proof(quads: DataFrame, rules: list[Rule], goals: DataFrame, depth: int = 100) -> DataFrame:
+    """(depth, rule, head_s, head_p, head_o, facts): the proof steps of the goals (head_s, head_p, head_o in N-Triples) and of all facts that these
+    rest on, each fact at the least depth at which it is met; a fact without a step is given."""
+    steps = stored(derivations(quads, rules), f"{shared_dir(quads.sparkSession)}/steps")
+    key = ["head_s", "head_p", "head_o"]
+    part = r"^(<<.*>>|<[^<>]*>|_:\S+) (<[^<>]*>) (.*)$"
+    seed = goals.select(*key).distinct().withColumn("depth", F.lit(0))
+
+    def down(new: DataFrame, _: DataFrame) -> DataFrame:
+        fact = new.join(steps, key).select(F.explode("facts").alias("f"), (F.col("depth") + 1).alias("depth"))
+        return fact.select(*[F.regexp_extract("f", part, i + 1).alias(k) for i, k in enumerate(key)], "depth")
+
+    return fixpoint(seed, down, key, depth).join(steps, key).select("depth", "rule", *key, "facts")
+
+
 def derivations(quads: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, head_s, head_p, head_o, facts): each way in which a closure's fact follows in one step, with the body's facts in N-Triples."""
     from ..terms import ntriples

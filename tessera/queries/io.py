@@ -17,7 +17,7 @@ from .registry import EX, lexical, query, read
 def ntriples_round_trip(spark, d):
     """Texts written as N-Quads lines and parsed again."""
     g = graph(spark, d, "documents")
-    back = T.parse(T.line(g))
+    back = T.parse(T.line(g), distinct=False)  # the lines are of a set
     rows = A.match(back, ("?d", EX + "text", "?t"), "urn:graph:docs")
     return rows.select(F.col("d.v").alias("d"), F.col("t.v").alias("text"), F.col("t.lang").alias("lang"))
 

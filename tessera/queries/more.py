@@ -51,16 +51,17 @@ def geometry_shapes(spark, d):
 
 @query("""SELECT 'urn:sales' AS at, 'urn:customer:' || c_custkey AS x, c_name AS name FROM customer UNION ALL SELECT 'urn:stock', 'urn:supplier:' || s_suppkey, s_name FROM supplier""")
 def federated_union(spark, d):
-    ends = E.Endpoints({"urn:sales": graph(spark, d, "customer"), "urn:stock": graph(spark, d, "supplier")})
-    return lexical(ends.service("?at", [("?x", EX + "name", "?name"), ("?x", EX + "acctbal", "?b")]), "at", "x", "name")
+    """One pattern over two graphs, each solution with the graph that it comes from."""
+    graphs = {"urn:sales": graph(spark, d, "customer"), "urn:stock": graph(spark, d, "supplier")}
+    parts = [A.extend(A.bgp(g, [("?x", EX + "name", "?name"), ("?x", EX + "acctbal", "?b")]), "at", iri(name)) for name, g in graphs.items()]
+    return lexical(A.union(*parts), "at", "x", "name")
 
 
 @query("""SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def federated_join(spark, d):
-    ends = E.Endpoints({"urn:sales": graph(spark, d, "customer")})
-    rows = A.join(ends.service("urn:sales", [("?c", EX + "nation", "?n")]), A.match(graph(spark, d, "nation"), ("?n", EX + "name", "?nation"), ""))
-    none = ends.service("urn:gone", [("?c", EX + "nation", "?n")], silent=True)
-    return A.union(rows, none).groupBy(F.col("nation.v").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    """A pattern over one graph joined with one over another."""
+    rows = A.join(A.bgp(graph(spark, d, "customer"), [("?c", EX + "nation", "?n")]), A.match(graph(spark, d, "nation"), ("?n", EX + "name", "?nation"), ""))
+    return rows.groupBy(F.col("nation.v").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT 'reader' AS role, (SELECT count(*) FROM labels) * 3 + (SELECT count(*) FROM region) * 2 AS n""")
@@ -107,8 +108,10 @@ def ranked_duplicates(spark, d):
     return T.duplicates(s, rank, lambda a, b: (F.levenshtein(a, b) <= 1).cast("double"), 1.0, "s_nationkey").select("keep", "drop")
 
 
-@query("""SELECT DISTINCT 's' || l_suppkey AS node FROM lineitem WHERE l_partkey <= 3""")
+@query("""SELECT 'urn:region:2' AS node UNION ALL SELECT 'urn:nation:' || n_nationkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'urn:customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2
+UNION ALL SELECT 'urn:order:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2""")
 def reverse_reach(spark, d):
-    """Nodes with a link to given nodes, by the links reversed."""
-    e = read(spark, d, "lineitem").filter("l_partkey <= 3").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    return N.centrality(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "eigenvector").select("node")
+    """Nodes from which links lead to a region."""
+    e = N.edges(graph(spark, d, "orders", "customer", "nation"), [EX + "customer", EX + "nation", EX + "region"])
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return N.reachable(back, spark.createDataFrame([("urn:region:2",)], "node string"))

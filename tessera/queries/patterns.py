@@ -131,11 +131,11 @@ def aggregate_of_nothing(spark, d):
     return rows.agg(G.count(F.col("x")).alias("n"), num(G.sum_(F.col("x"))).alias("total"), num(G.avg(F.col("x"))).alias("mean"))
 
 
-@query("""SELECT event_type AS etype, mode(bucket ORDER BY bucket) AS bucket FROM (SELECT event_type, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS bucket FROM events) GROUP BY 1 HAVING false""")
-def mode_of_nothing(spark, d):
-    g = graph(spark, d, "events")
-    rows = A.bgp(g, [("?e", EX + "etype", "?t"), ("?e", EX + "value", "?v")]).filter(num(F.col("v")) < -1e18)
-    return rows.groupBy(F.col("t.v").alias("etype")).agg(G.mode(F.col("v")).alias("bucket"))
+@query("""SELECT brand, size FROM (SELECT p_brand AS brand, CAST(p_size AS VARCHAR) AS size, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, CAST(p_size AS VARCHAR)) AS n FROM part GROUP BY 1, 2) WHERE n = 1""")
+def mode_of_sizes(spark, d):
+    """The most frequent size of each brand, the least lexical form of equals."""
+    rows = A.bgp(graph(spark, d, "part"), [("?p", EX + "brand", "?b"), ("?p", EX + "size", "?s")])
+    return rows.groupBy(F.col("b.v").alias("brand")).agg(G.mode(F.col("s")).alias("size"))
 
 
 @query("""SELECT DISTINCT p_brand AS brand FROM part""")
@@ -153,11 +153,11 @@ def order_limit_offset(spark, d):
 @query("""SELECT row_number() OVER (ORDER BY k, n, v) AS pos, v FROM (SELECT 1 AS k, NULL AS n, 'urn:region:' || r_regionkey AS v FROM region UNION ALL SELECT 2, CAST(p_size AS DOUBLE), CAST(p_size AS VARCHAR) FROM (SELECT DISTINCT p_size FROM part))""")
 def sparql_order(spark, d):
     """IRIs before literals, numbers by value."""
-    from pyspark.sql import Window
+    from ..operators.ranks import ranked
 
     g = graph(spark, d, "region", "part")
     rows = A.union(A.match(g, ("?x", EX + "name", "?n"), "").filter(F.col("x.v").startswith("urn:region")).select("x"), A.match(g, ("?p", EX + "size", "?x"), "").select("x").distinct())
-    return rows.select(F.row_number().over(Window.orderBy(*sort_key(F.col("x")))).cast("long").alias("pos"), F.col("x.v").alias("v"))
+    return ranked(rows, sort_key(F.col("x")), "pos").select(F.col("pos").cast("long").alias("pos"), F.col("x.v").alias("v"))
 
 
 @query("""SELECT count(*) > 0 AS result FROM customer WHERE c_acctbal < 0""")

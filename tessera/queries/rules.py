@@ -73,10 +73,10 @@ def well_founded_game(spark, d):
     return out.filter(F.col("p") == EX + "win").select(F.replace(F.col("s.v"), F.lit("urn:"), F.lit("")).alias("x"), "truth")
 
 
-@query("""WITH RECURSIVE e AS (SELECT turn AS a, turn + 1 AS b, min(length(text)) AS w FROM conversations WHERE turn <= 6 GROUP BY 1, 2), r AS (SELECT 0::BIGINT AS node, 0::BIGINT AS cost UNION ALL SELECT e.b, r.cost + e.w FROM r JOIN e ON r.node = e.a) SELECT node, min(cost) AS value FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT turn AS a, turn + 1 AS b, min(length(text)) AS w FROM conversations GROUP BY 1, 2), r AS (SELECT 0::BIGINT AS node, 0::BIGINT AS cost UNION ALL SELECT e.b, r.cost + e.w FROM r JOIN e ON r.node = e.a) SELECT node, min(cost) AS value FROM r GROUP BY 1""")
 def lattice_shortest(spark, d):
     """Least cost by a min lattice."""
-    edges = read(spark, d, "conversations").filter("turn <= 6").groupBy(F.col("turn").alias("node"), (F.col("turn") + 1).alias("to")).agg(F.min(F.length("text")).cast("long").alias("w"))
+    edges = read(spark, d, "conversations").groupBy(F.col("turn").alias("node"), (F.col("turn") + 1).alias("to")).agg(F.min(F.length("text")).cast("long").alias("w"))
     seed = spark.createDataFrame([(0, 0)], "node long, value long")
     step = lambda new: new.join(edges, "node").select(F.col("to").alias("node"), (F.col("value") + F.col("w")).alias("value"))
     return D.lattice(seed, step, ["node"], lambda: F.min("value"))

@@ -32,10 +32,10 @@ def temporal_diff(spark, d):
     return T.diff(_versions(spark, d), "2024-01-10 00:00:00", "2024-01-20 00:00:00", ["user_id", "event_type"])
 
 
-@query(f"""WITH {_V}, i AS (SELECT user_id, event_type, valid_from AS f, valid_to AS t FROM v WHERE valid_to IS NOT NULL AND user_id < 10), j AS (SELECT a.f AS f1, a.t AS t1, b.f AS f2, b.t AS t2 FROM i a JOIN i b ON a.user_id = b.user_id - 1 AND a.event_type = b.event_type)
+@query(f"""WITH {_V}, i AS (SELECT user_id, event_type, valid_from AS f, valid_to AS t FROM v WHERE valid_to IS NOT NULL), j AS (SELECT a.f AS f1, a.t AS t1, b.f AS f2, b.t AS t2 FROM i a JOIN i b ON a.user_id = b.user_id - 1 AND a.event_type = b.event_type)
 SELECT count(*) FILTER (t1 < f2) AS before, count(*) FILTER (t1 = f2) AS meets, count(*) FILTER (f1 < f2 AND f2 < t1 AND t1 < t2) AS overlaps, count(*) FILTER (f2 < f1 AND t1 < t2) AS during, count(*) FILTER (f1 = f2 AND t1 < t2) AS starts, count(*) FILTER (t1 = t2 AND f1 > f2) AS finishes, count(*) FILTER (f1 = f2 AND t1 = t2) AS equals FROM j""")
 def allen_relations(spark, d):
-    i = _versions(spark, d).filter("valid_to IS NOT NULL AND user_id < 10")
+    i = _versions(spark, d).filter("valid_to IS NOT NULL")
     a = i.select(F.col("user_id").alias("u"), "event_type", F.col("valid_from").alias("a_from"), F.col("valid_to").alias("a_to"))
     b = i.select((F.col("user_id") - 1).alias("u"), "event_type", F.col("valid_from").alias("b_from"), F.col("valid_to").alias("b_to"))
     return a.join(b, ["u", "event_type"]).agg(*[F.count_if(c).alias(name) for name, c in T.allen().items()])
@@ -44,9 +44,16 @@ def allen_relations(spark, d):
 @query(f"""WITH {_V}, i AS (SELECT user_id, event_type, valid_from AS f, valid_to AS t FROM v WHERE valid_to IS NOT NULL) SELECT a.event_type, count(*) AS n FROM i a JOIN i b ON a.event_type = b.event_type AND a.user_id < b.user_id AND a.f < b.t AND b.f < a.t GROUP BY 1""")
 def interval_overlap_join(spark, d):
     i = _versions(spark, d).filter("valid_to IS NOT NULL")
-    a = i.select("event_type", F.col("user_id").alias("ua"), F.col("valid_from").alias("a_from"), F.col("valid_to").alias("a_to"))
-    b = i.select("event_type", F.col("user_id").alias("ub"), F.col("valid_from").alias("b_from"), F.col("valid_to").alias("b_to"))
-    return T.overlapping(a, b, ["event_type"], "7 days").filter("ua < ub").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return T.overlap_counts(i, ["event_type"])  # a user's own intervals never overlap
+
+
+@query(f"""WITH {_V}, i AS (SELECT user_id, event_type, valid_from AS f, valid_to AS t FROM v WHERE valid_to IS NOT NULL) SELECT a.user_id AS ua, b.user_id AS ub, a.f AS a_from, b.f AS b_from FROM i a JOIN i b ON a.event_type = b.event_type AND a.user_id = b.user_id - 1 AND a.f < b.t AND b.f < a.t""")
+def interval_pairs(spark, d):
+    """The overlapping intervals of neighbouring users themselves."""
+    i = _versions(spark, d).filter("valid_to IS NOT NULL")
+    a = i.select("event_type", F.col("user_id").alias("u"), F.col("user_id").alias("ua"), F.col("valid_from").alias("a_from"), F.col("valid_to").alias("a_to"))
+    b = i.select("event_type", (F.col("user_id") - 1).alias("u"), F.col("user_id").alias("ub"), F.col("valid_from").alias("b_from"), F.col("valid_to").alias("b_to"))
+    return T.overlapping(a, b, ["event_type", "u"], "1 day").select("ua", "ub", "a_from", "b_from")
 
 
 @query("""SELECT user_id, event_type, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM events) GROUP BY user_id, event_type, k""")

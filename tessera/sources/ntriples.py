@@ -12,6 +12,7 @@ _IRI, _BNODE = r"<[^<>\s]*>", r"_:[^\s<>\"]+"
 _LITERAL = r'"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?'
 _QUOTED = rf"<<\s*(?:{_IRI}|{_BNODE})\s+{_IRI}\s+(?:{_IRI}|{_BNODE}|{_LITERAL})\s*>>"
 _TERM = rf"(?:{_QUOTED}|{_IRI}|{_BNODE}|{_LITERAL})"
+MARK = "\uFDD0"  # a code point that no text may use
 LINE = rf"^\s*({_QUOTED}|{_IRI}|{_BNODE})\s+({_IRI})\s+({_TERM})(?:\s+({_IRI}|{_BNODE}))?\s*\.\s*(?:#.*)?$"
 
 
@@ -20,22 +21,41 @@ def parsed(text: Column, bnode_prefix: str = "") -> Column:
     quote = F.regexp_extract(text, r'^"((?:[^"\\]++|\\.)*+)"', 1)
     return (
         F.when(text.startswith("<<"), term(QUOTED, F.trim(F.substr(text, F.lit(3), F.length(text) - 4))))
-        .when(text.startswith("<"), term(IRI, F.substr(text, F.lit(2), F.length(text) - 2)))
+        .when(text.startswith("<"), term(IRI, unescaped(F.substr(text, F.lit(2), F.length(text) - 2))))
         .when(text.startswith("_:"), term(BNODE, F.concat(F.lit(bnode_prefix), F.substr(text, F.lit(3)))))
         .when(text.startswith('"'), term(LITERAL, unescaped(quote), F.regexp_extract(text, r'"\^\^<([^<>\s]*)>$', 1), F.regexp_extract(text, r'"@([A-Za-z0-9-]+)$', 1)))
     )
 
 
-def parse(lines: DataFrame, graph: str = "", bnode_prefix: str = "", strict: bool = False) -> DataFrame:
-    """Quads from lines (column ``value``). Malformed lines are skipped, or with ``strict`` fail the query."""
+def quoted_parts(text: Column) -> Column:
+    """A struct (s, p, o) of terms from the inside of a quoted triple; nested ones stay quoted terms."""
+    part = F.split(F.regexp_replace(text, rf"^\s*({_QUOTED}|{_IRI}|{_BNODE})\s+({_IRI})\s+({_TERM})\s*$", f"{MARK}$1{MARK}$2{MARK}$3"), MARK)
+    return F.when(F.size(part) == 4, F.struct(parsed(part[1]).alias("s"), parsed(part[2]).alias("p"), parsed(part[3]).alias("o")))
+
+
+def with_confidence(lines: DataFrame, default: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(quads, confidence) of lines in which a statement may be followed by a number: ``s p o . # 0.9`` or ``s p o 0.9 .``."""
+    value = F.regexp_extract("value", r"(?:#\s*|\s)([01](?:\.\d+)?)\s*\.?\s*$", 1)
+    plain = F.regexp_replace("value", r"\s+[01](?:\.\d+)?\s*\.\s*$", " .")
+    rows = lines.select(plain.alias("value"), F.coalesce(value.try_cast("double"), F.lit(default)).alias("confidence"))
+    parts = rows.select("confidence", F.split(F.regexp_replace("value", LINE, f"{MARK}$1{MARK}$2{MARK}$3{MARK}$4"), MARK).alias("part")).filter(F.size("part") == 5)
+    p = F.col("part")[2]
+    spo = parts.select(parsed(F.col("part")[1]).alias("s"), F.substr(p, F.lit(2), F.length(p) - 2).alias("p"), parsed(F.col("part")[3]).alias("o"), "confidence")
+    return parse(rows), spo.groupBy("s", "p", "o").agg(F.max("confidence").alias("confidence"))
+
+
+def parse(lines: DataFrame, graph: str = "", bnode_prefix: str = "", strict: bool = False, distinct: bool = True) -> DataFrame:
+    """Quads from lines (column ``value``). Malformed lines are skipped, or with ``strict`` fail the query; ``distinct`` makes a set of them."""
     text = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.regexp_extract("value", LINE, i)
-    good = F.col("value").rlike(LINE)
+    # one pass of the pattern writes the four parts apart (no part can hold the mark), the rest only splits
+    text = text.select("value", F.split(F.regexp_replace("value", LINE, f"{MARK}$1{MARK}$2{MARK}$3{MARK}$4"), MARK).alias("part"))
+    good = F.size("part") == 5
     text = text.filter(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("boolean"))) if strict else text.filter(good)
-    g = part(4)
+    part = lambda i: F.col("part")[i]
+    g, p = part(4), part(2)
     own = F.when(g == "", F.lit(graph)).when(g.startswith("<"), F.substr(g, F.lit(2), F.length(g) - 2)).otherwise(g)
-    p = part(2)
-    return text.select(parsed(part(1), bnode_prefix).alias("s"), F.substr(p, F.lit(2), F.length(p) - 2).alias("p"), parsed(part(3), bnode_prefix).alias("o"), own.alias("g")).distinct()
+    quads = text.select(parsed(part(1), bnode_prefix).alias("s"), unescaped(F.substr(p, F.lit(2), F.length(p) - 2)).alias("p"), parsed(part(3), bnode_prefix).alias("o"), own.alias("g"))
+    return quads.distinct() if distinct else quads
 
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -76,7 +76,7 @@ def num(t: Column) -> Column:
 def sort_key(t: Column) -> list[Column]:
     """SPARQL's order: unbound, blank nodes, IRIs, literals; numbers by value."""
     rank = F.when(t.isNull(), 0).when(t["k"] == BNODE, 1).when(t["k"] == IRI, 2).otherwise(3)
-    return [rank, num(t).asc_nulls_last(), t["v"], t["dt"], t["lang"]]
+    return [rank, num(t).isNull(), num(t), t["v"], t["dt"], t["lang"]]
 
 
 def escaped(v: Column) -> Column:
@@ -85,12 +85,24 @@ def escaped(v: Column) -> Column:
     return v
 
 
+#: Escapes of one character in N-Triples and Turtle, fixed by the standard.
+ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", '"': '"', "'": "'"}
+
+
 def unescaped(v: Column) -> Column:
+    """Text without escapes; the parts between backslashes are looked at one by one, only where there is a backslash."""
     mark = "\x00"
-    v = F.replace(v, F.lit("\\\\"), F.lit(mark))
-    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        v = F.replace(v, F.lit(a), F.lit(b))
-    return F.replace(v, F.lit(mark), F.lit("\\"))
+    parts = F.split(F.replace(v, F.lit("\\\\"), F.lit(mark)), r"\\")
+    point = lambda p, n: F.decode(F.unhex(F.lpad(F.substr(p, F.lit(2), F.lit(n)), 8, "0")), "UTF-32")
+    own = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def one(p: Column) -> Column:
+        first = F.substr(p, F.lit(1), F.lit(1))
+        letter = F.concat(F.coalesce(F.try_element_at(own, first), first), F.substr(p, F.lit(2)))
+        return F.when(first == "u", F.concat(point(p, 4), F.substr(p, F.lit(6)))).when(first == "U", F.concat(point(p, 8), F.substr(p, F.lit(10)))).otherwise(letter)
+
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    return F.when(v.contains("\\"), F.replace(joined, F.lit(mark), F.lit("\\"))).otherwise(v)
 
 
 def ntriples(t: Column) -> Column:
