@@ -30,7 +30,7 @@ def parsed(text: Column, bnode_prefix: str = "") -> Column:
 def quoted_parts(text: Column) -> Column:
     """A struct (s, p, o) of terms from the inside of a quoted triple; nested ones stay quoted terms."""
     part = F.split(F.regexp_replace(text, rf"^\s*({_QUOTED}|{_IRI}|{_BNODE})\s+({_IRI})\s+({_TERM})\s*$", f"{MARK}$1{MARK}$2{MARK}$3"), MARK)
-    return F.when(F.size(part) == 4, F.struct(parsed(part[1]).alias("s"), parsed(part[2]).alias("p"), parsed(part[3]).alias("o")))
+    return F.when(F.size(part) == 4, F.struct(parsed(F.get(part, F.lit(1))).alias("s"), parsed(F.get(part, F.lit(2))).alias("p"), parsed(F.get(part, F.lit(3))).alias("o")))
 
 
 def with_confidence(lines: DataFrame, default: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -39,8 +39,8 @@ def with_confidence(lines: DataFrame, default: float = 1.0) -> tuple[DataFrame,
     plain = F.regexp_replace("value", r"\s+[01](?:\.\d+)?\s*\.\s*$", " .")
     rows = lines.select(plain.alias("value"), F.coalesce(value.try_cast("double"), F.lit(default)).alias("confidence"))
     parts = rows.select("confidence", F.split(F.regexp_replace("value", LINE, f"{MARK}$1{MARK}$2{MARK}$3{MARK}$4"), MARK).alias("part")).filter(F.size("part") == 5)
-    p = F.col("part")[2]
-    spo = parts.select(parsed(F.col("part")[1]).alias("s"), F.substr(p, F.lit(2), F.length(p) - 2).alias("p"), parsed(F.col("part")[3]).alias("o"), "confidence")
+    p = F.get("part", F.lit(2))
+    spo = parts.select(parsed(F.get("part", F.lit(1))).alias("s"), F.substr(p, F.lit(2), F.length(p) - 2).alias("p"), parsed(F.get("part", F.lit(3))).alias("o"), "confidence")
     return parse(rows), spo.groupBy("s", "p", "o").agg(F.max("confidence").alias("confidence"))
 
 
@@ -51,7 +51,7 @@ def parse(lines: DataFrame, graph: str = "", bnode_prefix: str = "", strict: boo
     text = text.select("value", F.split(F.regexp_replace("value", LINE, f"{MARK}$1{MARK}$2{MARK}$3{MARK}$4"), MARK).alias("part"))
     good = F.size("part") == 5
     text = text.filter(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("boolean"))) if strict else text.filter(good)
-    part = lambda i: F.col("part")[i]
+    part = lambda i: F.get(F.col("part"), F.lit(i))
     g, p = part(4), part(2)
     own = F.when(g == "", F.lit(graph)).when(g.startswith("<"), F.substr(g, F.lit(2), F.length(g) - 2)).otherwise(g)
     quads = text.select(parsed(part(1), bnode_prefix).alias("s"), unescaped(F.substr(p, F.lit(2), F.length(p) - 2)).alias("p"), parsed(part(3), bnode_prefix).alias("o"), own.alias("g"))
