@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..store import remove_dir, shared_dir, stored
@@ -20,15 +20,17 @@ def edges(quads: DataFrame, predicates: list[str] | None = None) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, delta: float = 1e-4, direction: str = "forward", seeds: DataFrame | None = None) -> DataFrame:
     """(node, rank), summing to 1. Dangling mass is spread like the teleport, evenly or over ``seeds`` (column ``node``).
 
-    Links and out-degrees are stored once, dealt by source; a round is one join and one aggregate, written to the shared
-    folder, and two numbers to the driver, the largest change and the dangling mass.
+    Links and out-degrees are stored once and kept dealt by source, so that a round moves ranks and contributions only. A round is one
+    job: a join and an aggregate, written to the shared folder, with the largest change and the dangling mass observed on the way.
     """
     spark = edges.sparkSession
     folder = shared_dir(spark)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     edges = {"forward": edges, "reverse": back, "both": edges.unionByName(back)}[direction].select("src", "dst").distinct()
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = stored(edges.join(degree, "src"), f"{folder}/links")
+    dealt = links.select("src", "dst").repartition(parts, "src").persist()
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
     nodes = nodes.join(degree.select(F.col("src").alias("node"), "n"), "node", "left")
     if seeds is not None:
@@ -43,15 +45,18 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, del
     ranks = stored(nodes.select("node", "n", "seed", F.lit(1.0 / total).alias("rank")), f"{folder}/0")
     lost = nodes.filter("n IS NULL").count() / total
     for k in range(1, max_rounds + 1):
-        given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("given"))
+        share = ranks.filter("n IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("n")).alias("share"))
+        given = dealt.join(share.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("given"))
         new = (1 - damping) * jump + damping * (F.coalesce("given", F.lit(0.0)) + lost * jump)
         after = ranks.join(given, "node", "left").select("node", "n", "seed", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
-        after = stored(after, f"{folder}/{k}")
-        change, lost = after.agg(F.max("change"), F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        seen = Observation()
+        after = stored(after.observe(seen, F.max("change").alias("change"), F.sum(F.when(F.col("n").isNull(), F.col("rank")).otherwise(0.0)).alias("lost")), f"{folder}/{k}")
+        change, lost = seen.get["change"], seen.get["lost"]
         remove_dir(spark, f"{folder}/{k - 1}")
         ranks = after.drop("change")
         if change < delta:
             break
+    dealt.unpersist()
     return ranks.select("node", "rank")
 
 
