@@ -20,7 +20,7 @@ def edges(quads: DataFrame, predicates: list[str] | None = None) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, delta: float = 1e-4, direction: str = "forward", seeds: DataFrame | None = None) -> DataFrame:
     """(node, rank), summing to 1. Dangling mass is spread like the teleport, evenly or over ``seeds`` (column ``node``).
 
-    Links and out-degrees are stored once and kept dealt by source, so that a round moves ranks and contributions only. A round is one
+    Links and out-degrees are stored once and kept dealt and sorted by source, so that a round moves ranks and contributions only. A round is one
     job: a join and an aggregate, written to the shared folder, with the largest change and the dangling mass observed on the way.
     """
     spark = edges.sparkSession
@@ -30,7 +30,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, del
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = stored(edges.join(degree, "src"), f"{folder}/links")
-    dealt = links.select("src", "dst").repartition(parts, "src").persist()
+    dealt = links.select("src", "dst").repartition(parts, "src").sortWithinPartitions("src").persist()
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
     nodes = nodes.join(degree.select(F.col("src").alias("node"), "n"), "node", "left")
     if seeds is not None:
@@ -46,7 +46,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, del
     lost = nodes.filter("n IS NULL").count() / total
     for k in range(1, max_rounds + 1):
         share = ranks.filter("n IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("n")).alias("share"))
-        given = dealt.join(share.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("given"))
+        given = dealt.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("given"))
         new = (1 - damping) * jump + damping * (F.coalesce("given", F.lit(0.0)) + lost * jump)
         after = ranks.join(given, "node", "left").select("node", "n", "seed", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         seen = Observation()

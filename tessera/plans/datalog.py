@@ -290,6 +290,31 @@ def retracted(base: DataFrame, gone: DataFrame, rules: list[Rule]) -> DataFrame:
     return rest.unionByName(back.join(kept_base, QUAD, "left_anti").select(QUAD))
 
 
+def extended(closure: DataFrame, added: DataFrame, rules: list[Rule]) -> DataFrame:
+    """What follows anew when facts are added to a closed graph: rounds start from the added facts alone. Positive rules only."""
+    spark, folder = closure.sparkSession, shared_dir(closure.sparkSession)
+    heads, base = {_head(r) for r in rules}, closure.select(QUAD)
+    fresh = stored(added.select(QUAD).dropDuplicates(QUAD).join(base, QUAD, "left_anti").select(QUAD), f"{folder}/0")
+    delta, paths = fresh, [f"{folder}/0"]
+    while not delta.isEmpty():
+        known = base.unionByName(spark.read.schema(delta.schema).parquet(*paths))
+        more = _consequences(rules, delta, known)
+        paths.append(f"{folder}/{len(paths)}")
+        delta = stored(more.dropDuplicates(QUAD).join(_of(known, heads), QUAD, "left_anti").select(QUAD), paths[-1])
+    return spark.read.schema(delta.schema).parquet(*paths[1:]) if len(paths) > 1 else fresh.limit(0)
+
+
+def conflicts(quads: DataFrame, rules: list, exclusive: list[tuple[str, str]]) -> DataFrame:
+    """(s, o, p, q): pairs that a closure holds under two predicates of which only one may hold, at least one of them derived."""
+    mine = derived(quads, rules).withColumn("new", F.lit(True))
+    full = quads.select(QUAD).withColumn("new", F.lit(False)).unionByName(mine)
+    parts = []
+    for p, q in exclusive:
+        a, b = (full.filter(F.col("p") == x).select("s", "o", F.col("new").alias(n)) for x, n in ((p, "n1"), (q, "n2")))
+        parts.append(a.join(b, ["s", "o"]).filter("n1 OR n2").select("s", "o", F.lit(p).alias("p"), F.lit(q).alias("q")).distinct())
+    return reduce(DataFrame.unionByName, parts)
+
+
 def hypothetical(base: DataFrame, rules: list, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
     """(quad, change): what would follow, or no longer follow, from other facts."""
     other = base.select(QUAD) if remove is None else base.select(QUAD).join(remove.select(QUAD), QUAD, "left_anti")

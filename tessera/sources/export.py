@@ -55,3 +55,18 @@ def relationships(quads: DataFrame) -> DataFrame:
     """(id, source, target, description, weight) of every IRI link but types; weight counts equal links over graphs."""
     links = quads.filter((F.col("o")["k"] == IRI) & (F.col("p") != TYPE)).groupBy(F.col("s.v").alias("source"), F.col("p").alias("description"), F.col("o.v").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
     return links.withColumn("id", F.md5(F.concat_ws("|", "source", "description", "target")))
+
+
+def text_units(docs: DataFrame, words: int = 300, overlap: int = 30) -> DataFrame:
+    """(id, document_id, position, text, n_tokens): runs of ``words`` words of each text (doc_id, text), each sharing ``overlap`` with the next."""
+    each = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = docs.select("doc_id", each.alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - overlap - 1, F.lit(0)), F.lit(words - overlap))
+    unit = rows.select("doc_id", F.posexplode(starts).alias("position", "a"), "w").select("doc_id", "position", F.slice("w", F.col("a") + 1, words).alias("w"))
+    return unit.select(F.md5(F.concat_ws("|", "doc_id", "position").cast("binary")).alias("id"), F.col("doc_id").alias("document_id"), F.col("position").cast("long").alias("position"), F.array_join("w", " ").alias("text"), F.size("w").cast("long").alias("n_tokens"))
+
+
+def write_graph_tables(quads: DataFrame, title: str, docs: DataFrame, folder: str) -> None:
+    """Entities, relationships and text units as Parquet tables under ``folder``."""
+    for name, table in (("entities", entities(quads, title)), ("relationships", relationships(quads)), ("text_units", text_units(docs))):
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
