@@ -19,6 +19,7 @@ import corpus_pipeline
 from tessera.llm import bpe, langid_cnn, near_dedup, tool_calls, toxicity, warc
 from tessera.llm import textnum as T
 from tessera.llm.common import held_out, shared_dir
+from test_text_ops import runs_brute, tiles_brute
 
 
 def pages(spark, rows):
@@ -330,9 +331,54 @@ def test_pipeline(spark, make, tmp_path):
     assert ids == [*range(60), 66]
 
 
-@pytest.mark.parametrize("k", range(4))
+def pipeline_brute(docs, items):
+    """Token ids by doc_id of the documents that stay: every stage by its definition."""
+    docs = {i: t for i, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
+    ids, texts, gone = list(docs), list(docs.values()), None
+    gone, lined = runs_brute(texts), {}
+    for k, t in enumerate(texts):
+        n, kept = -1, []
+        for line in t.split("\n"):
+            n += bool(line.strip(" "))
+            if not line.strip(" ") or (k, n) not in gone:
+                kept.append(line)
+        if "\n".join(kept).strip(" \n") or kept == t.split("\n"):
+            lined[ids[k]] = "\n".join(kept)
+    ids, texts = list(lined), list(lined.values())
+    classes = classes_of(len(texts), jaccard_pairs(texts))
+    _, ref = reference()
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    out = {}
+    for k, (i, t) in enumerate(zip(ids, texts)):
+        if classes[k] == k and not any(tiles_brute(words(t), words(x), 5) >= 0.5 * len(words(x)) for x in items):
+            out[i] = ref.encode_ordinary(t)
+    return out
+
+
+def test_pipeline_against_brute_force(spark, make, tmp_path):
+    """Stages in a row: letters, repeated lines of other documents, near copies, reordered benchmark passages, tokens."""
+    rng = np.random.default_rng(11)
+    langs = [list(LANG)[k % 3] for k in range(40)]
+    texts = ["\n".join(tongue(rng, x, 24) for _ in range(4)) for x in langs]
+    shared = "\n".join(f"shared line number {k} of a license text" for k in range(3))
+    item = " ".join(f"bench{k}" for k in range(24))
+    moved = " ".join(f"bench{k}" for k in [*range(12, 24), *range(12)])
+    texts += [texts[0] + "\n" + shared, shared + "\n" + texts[1], shared, texts[2].replace(" ", "  ", 2), texts[3] + " extra", f"{tongue(rng, 'en', 30)} {moved}", "only 5 of bench0 bench1 bench2", "12 34 !", "", None]
+    for t in ("x" * 260, "y" * 260):
+        texts += [t + "\n" + tongue(rng, "de", 40), tongue(rng, "fr", 40) + "\n" + t]
+    langs += ["en"] * (len(texts) - len(langs))
+    make(texts, None, langs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == pipeline_brute(dict(enumerate(texts)), [item])
+
+
+@pytest.mark.parametrize("k", range(5))
 def test_pipeline_stages_on_hard_rows(spark, hard, empty, tmp_path, k):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for docs in (hard, empty):
         out = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
-        assert out.columns == docs.columns and out.count() <= docs.count()
+        if k == 4:
+            assert out.count() == docs.count()
+        else:
+            assert out.columns == docs.columns and out.count() <= docs.count()
