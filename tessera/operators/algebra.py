@@ -82,26 +82,47 @@ def join(a: DataFrame, b: DataFrame, maybe: list[str] | None = None, how: str =
     if not loose:
         both = a.join(right, reduce(Column.__and__, firm), how)
         return both if how in ("left_semi", "left_anti") else both.drop(*[f"{c}_{tag}" for c in on])
+    # every way in which the loose variables can be bound on each side is one equi-join
+    both = reduce(DataFrame.unionByName, [x for x, _ in _ways(a, right, on, loose, firm, tag)])
     if how == "inner":
-        # every way in which the loose variables can be bound on each side is one equi-join
-        parts = []
-        for mask in range(4 ** len(loose)):
-            conds, la, lb = list(firm), F.lit(True), F.lit(True)
-            for i, c in enumerate(loose):
-                bits = mask >> (2 * i) & 3
-                la = la & (F.col(c).isNotNull() if bits & 1 else F.col(c).isNull())
-                lb = lb & (F.col(f"{c}_{tag}").isNotNull() if bits & 2 else F.col(f"{c}_{tag}").isNull())
-                if bits == 3:
-                    conds.append(F.col(c) == F.col(f"{c}_{tag}"))
-            parts.append(a.filter(la).join(right.filter(lb), reduce(Column.__and__, conds) if conds else F.lit(True)))
-        both = reduce(DataFrame.unionByName, parts)
-    else:
-        conds = firm + [F.col(c).isNull() | F.col(f"{c}_{tag}").isNull() | (F.col(c) == F.col(f"{c}_{tag}")) for c in loose]
-        both = a.join(right, reduce(Column.__and__, conds), how)
-    if how in ("left_semi", "left_anti"):
-        return both
-    keep = [F.coalesce(F.col(c), F.col(f"{c}_{tag}")).alias(c) if c in on else F.col(c) for c in a.columns]
-    return both.select(*keep, *[c for c in b.columns if c not in on])
+        keep = [F.coalesce(F.col(c), F.col(f"{c}_{tag}")).alias(c) if c in on else F.col(c) for c in a.columns]
+        return both.select(*keep, *[c for c in b.columns if c not in on])
+    if how == "left":
+        return _left_of(a, lambda keyed: join(keyed, b, maybe))
+    met = both.select(a.columns).distinct()
+    return _same_rows(a, met, how)
+
+
+def _ways(a: DataFrame, right: DataFrame, on: list[str], loose: list[str], firm: list[Column], tag: str) -> list[tuple[DataFrame, bool]]:
+    """The joins for each way, and whether some variable is bound on both sides."""
+    out = []
+    for mask in range(4 ** len(loose)):
+        conds, la, lb, both = list(firm), F.lit(True), F.lit(True), bool(firm)
+        for i, c in enumerate(loose):
+            bits = mask >> (2 * i) & 3
+            la = la & (F.col(c).isNotNull() if bits & 1 else F.col(c).isNull())
+            lb = lb & (F.col(f"{c}_{tag}").isNotNull() if bits & 2 else F.col(f"{c}_{tag}").isNull())
+            if bits == 3:
+                conds.append(_equal(a, c, tag))
+                both = True
+        out.append((a.filter(la).join(right.filter(lb), reduce(Column.__and__, conds) if conds else F.lit(True)), both))
+    return out
+
+
+def _same_rows(a: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``a`` with rows that are equal in all its columns, unbound ones included."""
+    tag = uuid4().hex[:6]
+    keys = rows.select([F.col(c).alias(f"{c}_{tag}") for c in a.columns])
+    return a.join(keys, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_{tag}")) for c in a.columns]), how)
+
+
+def _left_of(a: DataFrame, inner) -> DataFrame:
+    """LeftJoin out of an inner join: ``inner`` gets ``a`` with a copy of each column and its rows are told by these."""
+    tag = uuid4().hex[:6]
+    kept = {c: f"_{tag}_{c}" for c in a.columns}
+    both = inner(a.select("*", *[F.col(c).alias(k) for c, k in kept.items()]))
+    met = both.select([F.col(k).alias(c) for c, k in kept.items()]).distinct()
+    return both.drop(*kept.values()).unionByName(_same_rows(a, met, "left_anti"), allowMissingColumns=True)
 
 
 def optional(a: DataFrame, b: DataFrame, condition: Column | None = None, maybe: list[str] | None = None) -> DataFrame:
@@ -109,6 +130,8 @@ def optional(a: DataFrame, b: DataFrame, condition: Column | None = None, maybe:
     if condition is None:
         return join(a, b, maybe, "left")
     on = shared(a, b)
+    if set(on) & set(maybe or []):
+        return _left_of(a, lambda keyed: join(keyed, b, maybe).filter(condition))
     tag = uuid4().hex[:6]
     right = b.select([F.col(c).alias(f"{c}_{tag}") if c in on else F.col(c) for c in b.columns])
     conds = [_equal(a, c, tag) for c in on] + [condition]
@@ -129,9 +152,9 @@ def minus(a: DataFrame, b: DataFrame, maybe: list[str] | None = None) -> DataFra
         return join(a, b.select(on), how="left_anti")
     tag = uuid4().hex[:6]
     right = b.select([F.col(c).alias(f"{c}_{tag}") for c in on]).distinct()
-    each = [F.col(c).isNull() | F.col(f"{c}_{tag}").isNull() | (F.col(c) == F.col(f"{c}_{tag}")) for c in on]
-    some = reduce(Column.__or__, [F.col(c).isNotNull() & F.col(f"{c}_{tag}").isNotNull() for c in on])
-    return a.join(right, reduce(Column.__and__, each) & some, "left_anti")
+    firm = [_equal(a, c, tag) for c in on if c not in loose]
+    ways = [x.select(a.columns) for x, both in _ways(a, right, on, loose, firm, tag) if both]
+    return _same_rows(a, reduce(DataFrame.unionByName, ways).distinct(), "left_anti")
 
 
 def exists(a: DataFrame, b: DataFrame) -> DataFrame:

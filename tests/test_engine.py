@@ -1,6 +1,7 @@
 """Pieces of the engine against small cases and plain Python."""
 
 import math
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -181,3 +182,34 @@ def test_partitioned_store_prunes(spark, tmp_path):
     write_partitioned(triples(spark, [("<urn:a>", "urn:p", 1), ("<urn:a>", "urn:q", 2)]), str(tmp_path / "q"))
     df = A.match(spark.read.parquet(str(tmp_path / "q")), ("?s", "urn:p", "?o"), "")
     assert df.count() == 1 and "PartitionFilters: [isnotnull(p" in df._jdf.queryExecution().toString()
+
+
+@SLOW
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.sampled_from([None, 1, 2]), st.integers(0, 1)), min_size=1, max_size=6), st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.sampled_from([1, 2]), st.integers(5, 6)), min_size=1, max_size=6))
+def test_joins_with_unbound_variables(spark, ra, rb):
+    a, b = spark.createDataFrame(ra, "x int, y int, u int"), spark.createDataFrame(rb, "x int, y int, w int")
+    fits = lambda p, q: all(m is None or n is None or m == n for m, n in zip(p[:2], q[:2]))
+    meet = lambda p, q: any(m is not None and n is not None for m, n in zip(p[:2], q[:2]))
+    mixed = lambda p, q: (p[0] if p[0] is not None else q[0], p[1] if p[1] is not None else q[1], p[2], q[2])
+    got = lambda d: Counter(tuple(r[c] for c in ("x", "y", "u", "w")) for r in d.collect())
+
+    def left(good):
+        return Counter(x for p in ra for x in ([mixed(p, q) for q in rb if fits(p, q) and good(q)] or [(*p, None)]))
+
+    assert got(A.optional(a, b, maybe=["x", "y"])) == left(lambda q: True)
+    assert got(A.optional(a, b, F.col("w") == 5, ["x", "y"])) == left(lambda q: q[2] == 5)
+    assert Counter(map(tuple, A.minus(a, b, ["x", "y"]).collect())) == Counter(p for p in ra if not any(fits(p, q) and meet(p, q) for q in rb))
+
+
+def test_retraction_and_additions_equal_a_fresh_closure(spark):
+    rules = [D.Rule(("?x", "urn:r", "?y"), [("?x", "urn:e", "?y")]), D.Rule(("?x", "urn:r", "?z"), [("?x", "urn:r", "?y"), ("?y", "urn:r", "?z")])]
+    edge = lambda a, b: (f"<urn:{a}>", "urn:e", f"<urn:{b}>")
+    base = triples(spark, [edge(*x) for x in ("ab", "bc", "ca", "cd", "de", "bd")])
+    gone, more = triples(spark, [edge("b", "c")]), triples(spark, [edge("e", "f"), edge("f", "a")])
+    lex = lambda d: sorted((r["s"]["v"], r["p"], r["o"]["v"]) for r in d.collect())
+    rest = base.join(gone, ["s", "p", "o", "g"], "left_anti").select(base.columns)
+    assert lex(D.retracted(base, gone, rules)) == lex(D.infer(rest, rules))
+    closed = D.infer(base, rules)
+    assert lex(closed.unionByName(more).unionByName(D.extended(closed, more, rules))) == lex(D.infer(base.unionByName(more), rules))
+    asked = D.ask_goal(base, rules, ("?x", "urn:r", "<urn:e>"))
+    assert sorted(r["x"]["v"] for r in asked.collect()) == [f"urn:{x}" for x in "abcd"]
