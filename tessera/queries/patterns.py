@@ -10,7 +10,7 @@ from ..operators import algebra as A
 from ..operators import paths as P
 from ..operators import update as U
 from ..sources.mapping import graph
-from ..terms import TERM, TYPE, constant, iri, literal, num, sort_key
+from ..terms import TYPE, iri, literal, num, sort_key
 from .registry import EX, lexical, query
 
 
@@ -283,7 +283,7 @@ def find_by_subject(spark, d):
 @query("""SELECT count(*) AS n FROM labels WHERE quality = 1""")
 def quoted_triples(spark, d):
     """Statements about statements: a quoted triple is a term that joins."""
-    from ..terms import quoted, term
+    from ..terms import quoted
 
     g = graph(spark, d, "labels")
     facts = A.match(g, ("?d", EX + "quality", "?q"), None)
